@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sondage.llm import (
+    backoff_lm,
     license_rules,
     minimax_shards,
     preference_format,
@@ -33,9 +34,10 @@ QUERIES: dict[str, Query] = {
     "op4_toxicity_lexicon": _over(toxicity_lexicon.op4_toxicity_lexicon, "documents", "labels"),
     "op5_minimax_shards": _over(minimax_shards.op5_minimax_shards, "documents"),
     "op6_rule_ledger": _over(rule_ledger.op6_rule_ledger, "documents"),
+    "op7_backoff_lm": _over(backoff_lm.op7_backoff_lm, "documents"),
     "op8_preference_format": _over(preference_format.op8_preference_format, "conversations"),
     "op9_speculative_bpe": _over(speculative_bpe.op9_speculative_bpe, "documents"),
     "op10_probminhash": _over(probminhash.op10_probminhash, "documents"),
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_preference_format": preference_format.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op7_backoff_lm": backoff_lm.ORACLE, "op8_preference_format": preference_format.ORACLE}
