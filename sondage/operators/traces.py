@@ -87,7 +87,7 @@ def activity(spans: DataFrame, start: str, middle: str, end: str, seconds: int,
     )
     n = rows.groupBy("service", "is_current", "bucket").agg(F.count_distinct("id").alias("n"))
     grid = rows.select("service").distinct().select("service", F.explode(F.array(F.lit(True), F.lit(False))).alias("is_current"))
-    grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_buckets - 1))).cast("long").alias("bucket"))
+    grid = grid.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_buckets - 1).cast("long"))).alias("bucket"))
     full = grid.join(n, ["service", "is_current", "bucket"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     sums = full.groupBy("service").agg(
         F.sum(F.when(F.col("is_current"), F.col("n")).otherwise(0)).alias("current"), F.sum(F.when(~F.col("is_current"), F.col("n")).otherwise(0)).alias("baseline"),

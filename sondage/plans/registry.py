@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from sondage.plans import evidence, inventory, logs, series, traces
+from sondage.plans.base import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+for module in (series, logs, traces, inventory, evidence):
+    QUERIES |= module.PLANS.queries
+    ORACLE_SQL |= module.PLANS.sql

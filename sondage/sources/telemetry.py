@@ -73,7 +73,7 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-TRANSITIONS = """transitions as (select event_id, ts as at, user_id as episode_id,
+TRANSITIONS = """transitions as (select event_id, ts as "at", user_id as episode_id,
   case event_type when 'signup' then 'open' when 'purchase' then 'close' else 'other' end as transition,
   floor(value)::bigint as severity, 'd' || (user_id % 6)::varchar as detector from events)"""
 
@@ -115,7 +115,7 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-CHANGES = """changes as (select o_orderkey as id, o_orderdate as at, o_orderpriority as category, o_custkey as target_id, o_orderstatus as action,
+CHANGES = """changes as (select o_orderkey as id, o_orderdate as "at", o_orderpriority as category, o_custkey as target_id, o_orderstatus as action,
   floor(o_totalprice / 50000)::bigint as detail from orders)"""
 
 
