@@ -49,7 +49,7 @@ POLICIES = {
 }
 BLANKS = b" \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
-WORDS_AT_ONCE = 1_000_000
+WORDS_AT_ONCE = 300_000
 
 
 def _blocks(texts: list[str | None]) -> Iterator[tuple[list[str], list[list[bytes]]]]:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CACHE_WORDS = 400_000
+CHARS_AT_ONCE = 2_000_000
 END = "</w>"
 NO_MERGE = 1 << 62
 #: Unicode's White_Space, for which Python's \\s has four characters too many.
@@ -172,7 +173,19 @@ class WordBpe:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids (little-endian unsigned 32-bit) of each text."""
-        pieces = [[p if i % 2 else self.words(p) for i, p in enumerate(self.specials.split(t or ""))] for t in texts]
+        out: list[bytes] = []
+        part: list[str] = []
+        size = 0
+        for t in texts:  # whole texts, so many at a time that their words fit in memory
+            part.append(t or "")
+            size += len(part[-1])
+            if size > CHARS_AT_ONCE:
+                out += self._encode(part)
+                part, size = [], 0
+        return out + self._encode(part)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        pieces = [[p if i % 2 else self.words(p) for i, p in enumerate(self.specials.split(t))] for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         self.learn(list({w for ps in pieces for p in ps[::2] for w in p if w not in self.cache}))
