@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondage.llm.rule_ledger import measure_texts
-from sondage.sources import durable
+from sondage.sources import durable, text_batches
 
 MAX_POSITIVE = 20_000
 MAX_UNLABELLED = 40_000
@@ -75,7 +75,7 @@ def featurise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def measured(texts: pd.Series) -> pd.Series:
         return pd.Series(list(features(texts.tolist())))
 
-    return docs.withColumn("features", measured.asNondeterministic()(F.col(text_col)))
+    return text_batches(docs).withColumn("features", measured.asNondeterministic()(F.col(text_col)))
 
 
 def nnpu_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, ridge: float = 1e-4) -> Model:

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sondage.sources import text_batches
+
 MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
     "n_lines", "n_adjacent", "n_shout", "n_alpha",
@@ -132,7 +134,7 @@ def ledger(docs: DataFrame, text_col: str = "text", into: str = "ledger") -> Dat
         return measure_texts(texts.tolist())
 
     raw = f"__{into}_measures"
-    rows = docs.withColumn(raw, measured.asNondeterministic()(F.col(text_col)))
+    rows = text_batches(docs).withColumn(raw, measured.asNondeterministic()(F.col(text_col)))
     with_bits = [F.col(f"{raw}.{m}").alias(m) for m in MEASURES]
     return rows.withColumn(into, F.struct(*with_bits, _bits(raw).alias("failed"))).drop(raw)
 

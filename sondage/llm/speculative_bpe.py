@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sondage.sources import text_batches
+
 CACHE_WORDS = 400_000
 CHARS_AT_ONCE = 2_000_000
 END = "</w>"
@@ -216,7 +218,7 @@ def encode(docs: DataFrame, file: str = "word_bpe_49k.json", text_col: str = "te
     def encoded(texts: pd.Series) -> pd.Series:
         return pd.Series(tokenizer(_path(file)).encode(texts.tolist()), dtype=object)
 
-    return docs.withColumn(into, encoded.asNondeterministic()(F.col(text_col)))
+    return text_batches(docs).withColumn(into, encoded.asNondeterministic()(F.col(text_col)))
 
 
 def decode(rows: DataFrame, file: str = "word_bpe_49k.json", ids_col: str = "ids", into: str = "decoded") -> DataFrame:

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sondage.sources import text_batches
+
 MAX_LABELLED = 20_000
 MAX_CANDIDATES = 4_000
 MIN_SUPPORT = 5
@@ -131,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
         return Lexicon()
     ids = F.broadcast(spark.createDataFrame(sample[["doc_id", "toxic"]], "doc_id long, toxic int"))  # <= MAX_LABELLED rows
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).join(ids, "doc_id")
+    rows = text_batches(docs).select("doc_id", text.alias("text")).join(ids, "doc_id")
     # equal texts count once
     once = rows.groupBy(F.md5(F.col("text").cast("binary")).alias("key")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
     seen = once.select("key", "toxic", "text").mapInPandas(_explode, "key string, toxic int, term string")
@@ -200,7 +202,7 @@ def score_texts(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", into:
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(lexicon.calibrated(measures(texts.tolist(), lexicon)))
 
-    return docs.withColumn(into, score.asNondeterministic()(F.col(text_col)))
+    return text_batches(docs).withColumn(into, score.asNondeterministic()(F.col(text_col)))
 
 
 def find_hits(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", into: str = "hits") -> DataFrame:
