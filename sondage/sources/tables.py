@@ -25,6 +25,18 @@ def register_views(spark: SparkSession, sf_dir: str) -> None:
         read_table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
+#: A batch of so many long texts, with what Python makes of it, fits beside a small executor's heap.
+TEXTS_AT_ONCE = 1_000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, after seeing to it that Arrow batches of its session hold at most ``TEXTS_AT_ONCE`` rows."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= TEXTS_AT_ONCE:
+        conf.set(key, str(TEXTS_AT_ONCE))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
