@@ -2,10 +2,11 @@
 
 Texts are folded (lower case, homoglyphs to Latin letters, digits and signs inside words to the letters they stand for) and
 matched by one Aho-Corasick automaton for words, word beginnings and exception phrases. A hit inside an exception phrase
-doesn't count. The hits' weights, plain and per length of the text, give the score through a two-parameter calibration.
+doesn't count, and word beginnings count from two hits in a text on, since one may be chance. The weights of words, plain and
+per length of the text, and of beginnings per length give the score through a calibration of four parameters.
 
 The lexicon is a short base list plus words and word beginnings learned from labelled rows: candidates by log odds over
-distinct texts, then a greedy cover of the toxic ones, so that words which merely come along with copies are not taken. The
+distinct texts (a text has a beginning if it has it twice and in ``DENSE`` of its words), then a greedy cover of the toxic ones, so that words which merely come along with copies are not taken. The
 fit takes a bounded sample of labelled rows (``MAX_LABELLED``, lowest hashes first); every row is scored.
 
 Defined cases: null and empty texts have no hits and get the score of a text without hits; without labels the base list and
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,6 +33,8 @@ MAX_LABELLED = 20_000
 MAX_CANDIDATES = 4_000
 MIN_SUPPORT = 5
 BEGINNINGS = (4, 5, 6, 7, 8)
+#: A text has a word beginning if at least so many of its words, and such a share of them, start so.
+LEAST, DENSE = 2, 0.01
 
 #: Common insults, with weights in log odds that labelled rows replace.
 BASE = {
@@ -64,9 +68,10 @@ class Lexicon:
     bias: float = -3.0
     slope: float = 1.5
     per_length: float = 0.5
+    per_beginning: float = 0.5
 
     def calibrated(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.bias + x @ np.array([self.slope, self.per_length]), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.bias + x @ np.array([self.slope, self.per_length, self.per_beginning]), -30, 30)))
 
 
 @functools.lru_cache(maxsize=2)
@@ -85,11 +90,11 @@ def _automaton(words: tuple, beginnings: tuple) -> ahocorasick.Automaton:
     return a
 
 
-def hits(text: str | None, lexicon: Lexicon) -> list[tuple[int, int, float]]:
-    """(start, end, weight) in the folded text; at one start the heaviest entry counts."""
+def hits(text: str | None, lexicon: Lexicon) -> list[tuple[int, int, float, str]]:
+    """(start, end, weight, kind) in the folded text; at one start the heaviest entry counts."""
     t = fold_text(text)
     automaton = _automaton(tuple(sorted(lexicon.words.items())), tuple(sorted(lexicon.beginnings.items())))
-    found: dict[int, tuple[int, int, float]] = {}
+    found: dict[int, tuple[int, int, float, str]] = {}
     spared: list[tuple[int, int]] = []
     for last, entries in automaton.iter(t):
         end = last + 1
@@ -100,21 +105,25 @@ def hits(text: str | None, lexicon: Lexicon) -> list[tuple[int, int, float]]:
             if kind == "except":
                 spared.append((start, end))
             elif start not in found or found[start][2] < weight:
-                found[start] = (start, end, weight)
+                found[start] = (start, end, weight, kind)
     return [h for h in found.values() if not any(a <= h[0] and h[1] <= b for a, b in spared)] if spared else list(found.values())
 
 
 def measures(texts: list[str | None], lexicon: Lexicon) -> np.ndarray:
-    """log(1 + weight of hits), log(1 + 100 * weight per word) for each text."""
-    weight = np.array([sum(h[2] for h in hits(t, lexicon)) for t in texts], dtype=float)
-    words = np.array([max(1, len((t or "").split())) for t in texts], dtype=float)
-    return np.column_stack([np.log1p(weight), np.log1p(100 * weight / words)])
+    """For each text the logarithm of 1 plus the weight of its words, that per 100 words, and that of its beginnings per 100 words."""
+    out = np.zeros((len(texts), 3))
+    for row, t in zip(out, texts, strict=True):
+        words, begins = ([h[2] for h in found if h[3] == kind] for found in [hits(t, lexicon)] for kind in ("word", "begin"))
+        size = max(1, len((t or "").split()))
+        row[:] = sum(words), 100 * sum(words) / size, 100 * sum(begins) / size * (len(begins) >= LEAST)
+    return np.log1p(out)
 
 
 def terms(text: str | None) -> set[str]:
-    """Words of a folded text, and their beginnings, marked with a star."""
-    own = set(WORD.findall(fold_text(text)))
-    return own | {w[:n] + "*" for w in own for n in BEGINNINGS if len(w) > n}
+    """Words of a folded text, and the beginnings that are dense in it, marked with a star."""
+    own = WORD.findall(fold_text(text))
+    begins = Counter(w[:n] for w in own for n in BEGINNINGS if len(w) > n)
+    return set(own) | {b + "*" for b, n in begins.items() if n >= max(LEAST, DENSE * len(own))}
 
 
 def _explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,13 +185,13 @@ def greedy_cover(candidates: pd.DataFrame, held: dict[str, set]) -> dict[str, fl
 
 
 def calibrate(rows: DataFrame, lexicon: Lexicon, ridge: float = 0.05) -> Lexicon:
-    """Logistic regression of the labels on the two measures of the (bounded) sample, by Newton steps."""
+    """Logistic regression of the labels on the measures of the (bounded) sample, by Newton steps."""
     got = rows.select("toxic", _measured(lexicon)("text").alias("m")).toPandas()
     x = np.column_stack([np.ones(len(got)), np.stack(got["m"].to_list())])
-    y, w = got["toxic"].to_numpy(dtype=float), np.zeros(3)
+    y, w = got["toxic"].to_numpy(dtype=float), np.zeros(4)
     for _ in range(30):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (q * (1 - q))[:, None]).T @ x + ridge * np.eye(3)
+        h = (x * (q * (1 - q))[:, None]).T @ x + ridge * np.eye(4)
         w += np.linalg.solve(h, x.T @ (y - q) - ridge * w)
     return Lexicon(lexicon.words, lexicon.beginnings, *map(float, w))
 
@@ -210,7 +219,7 @@ def find_hits(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", into: s
 
     @F.udf("array<struct<start:int,end:int,weight:double>>")
     def found(text: str | None) -> list:
-        return sorted(hits(text, lexicon))
+        return sorted(h[:3] for h in hits(text, lexicon))
 
     return docs.withColumn(into, found(F.col(text_col)))
 
