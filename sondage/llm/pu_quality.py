@@ -146,7 +146,11 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model]:
 
 
 def score_texts(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
-    return featurise(docs).withColumn(into, _scored(model).asNondeterministic()(F.col("features"))).drop("features")
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(features(texts.tolist())))
+
+    return text_batches(docs).withColumn(into, score.asNondeterministic()(F.col("text")))
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:

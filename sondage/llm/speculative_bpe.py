@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from sondage.sources import text_batches
 
-CACHE_WORDS = 400_000
-CHARS_AT_ONCE = 2_000_000
+CACHE_WORDS = 200_000
+CHARS_AT_ONCE = 1_000_000
 END = "</w>"
 NO_MERGE = 1 << 62
 #: Unicode's White_Space, for which Python's \\s has four characters too many.
@@ -231,8 +231,21 @@ def decode(rows: DataFrame, file: str = "word_bpe_49k.json", ids_col: str = "ids
     return rows.withColumn(into, decoded.asNondeterministic()(F.col(ids_col)))
 
 
+def round_trip(docs: DataFrame, file: str = "word_bpe_49k.json", text_col: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``docs`` with packed ids and the text that they stand for, both from one Python worker."""
+
+    @F.pandas_udf("ids binary, decoded string")
+    def both(texts: pd.Series) -> pd.DataFrame:
+        bpe = tokenizer(_path(file))
+        packed = bpe.encode(texts.tolist())
+        return pd.DataFrame({"ids": pd.Series(packed, dtype=object), "decoded": pd.Series(bpe.decode(packed), dtype=object)})
+
+    rows = text_batches(docs).withColumn("__both", both.asNondeterministic()(F.col(text_col)))
+    return rows.withColumns({ids: F.col("__both.ids"), decoded: F.col("__both.decoded")}).drop("__both")
+
+
 def op9_speculative_bpe(docs: DataFrame) -> DataFrame:
-    return decode(encode(docs.select("doc_id", "text"))).select(
+    return round_trip(docs.select("doc_id", "text")).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

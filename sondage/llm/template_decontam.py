@@ -6,7 +6,8 @@ occurrence; its slots must be filled consistently: one value of the item may sta
 question with other numbers or names is found, and a text that merely has the same shape is not.
 
 The benchmark is broadcast if a count shows that it has at most ``MAX_BROADCAST`` windows, else joined by shuffle. Documents
-are not shuffled for the search, only their matches; nothing is ever joined within the documents.
+are not shuffled for the search, only their matches, which are stored; the words of documents with a match are then read again
+for their slots. Nothing is ever joined within the documents.
 
 Defined cases: null texts are empty and match nothing; items or documents of fewer than ``WINDOW`` words match nothing; items
 with equal templates count once, under the smallest id; repeated rows (same doc_id and text) give one result; a null doc_id is
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sondage.sources import durable
+
 WINDOW = 8
 #: Of the words in a benchmark window, so many must be words, not placeholders.
 LITERALS = 4
@@ -32,66 +35,51 @@ UNITS = (
 )
 
 
-def words_of(text: Column) -> Column:
-    """Words with their closing sentence mark, if any; other punctuation at the edges of words is gone, and numbers stand alone."""
+def cleaned(text: Column) -> Column:
+    """Words with their closing marks between single blanks; other punctuation at the edges of words is gone, numbers stand alone."""
     t = F.coalesce(text, F.lit(""))
     t = F.when(t.rlike("[0-9]"), F.regexp_replace(t, r"([0-9])(?=\p{L})|(?<=\p{L})(?=[0-9])", "$1 ")).otherwise(t)
-    t = F.regexp_replace(t, r"[^\p{L}\p{N}.!?/']+|(?<![\p{L}\p{N}])['./]+", " ")
-    return F.filter(F.split(t, " "), lambda w: w != "")
-
-
-def _bare(w: Column) -> Column:
-    return F.rtrim(w, F.lit(".!?/'"))
-
-
-def template_of(words: Column) -> Column:
-    """The type of each word: itself in lower case, or a placeholder."""
+    return F.trim(F.regexp_replace(t, r"(?:[^\p{L}\p{N}.!?/']+|(?<![\p{L}\p{N}])['./]+)+", " "))
 
-    def kind(w: Column, i: Column) -> Column:
-        first = F.substring(w, 1, 1)
-        before = F.element_at(words, i)  # i counts from 0, element_at from 1
-        starts = (i == 0) | F.substring(before, -1, 1).isin(".", "!", "?")
-        return (
-            F.when(first.between("0", "9"), F.lit("<number>"))
-            .when((i > 0) & F.substring(before, 1, 1).between("0", "9") & F.lower(_bare(w)).isin(*UNITS), F.lit("<unit>"))
-            .when((first != F.lower(first)) & ~starts, F.lit("<name>"))
-            .otherwise(F.lower(_bare(w)))
-        )
 
-    # element_at(words, 0) is an error, so the first word is looked up at 1
-    return F.transform(words, lambda w, i: F.when(i == 0, _first(w)).otherwise(kind(w, F.greatest(i, F.lit(1)))))
+def template_of(clean: Column) -> Column:
+    """The cleaned text with a placeholder for every number, unit and name, other words in lower case, without closing marks."""
+    unit = rf"(?i)(?<![^ ])([0-9][^ ]*) (?:{'|'.join(UNITS)})([.!?/']*)(?= |$)"
+    t = F.regexp_replace(F.regexp_replace(clean, unit, "$1 <unit>$2"), r"(?<![^ ])[0-9][^ ]*?([.!?/']*)(?= |$)", "<number>$1")
+    t = F.when(clean.rlike("[0-9]"), t).otherwise(clean)
+    t = F.regexp_replace(t, r"(?<=[^ .!?] )[\p{Lu}\p{Lt}][^ ]*", "<name>")  # not at the beginning of a sentence
+    return F.regexp_replace(F.lower(t), "[.!?/']+(?= |$)", "")
 
 
-def _first(w: Column) -> Column:
-    return F.when(F.substring(w, 1, 1).between("0", "9"), F.lit("<number>")).otherwise(F.lower(_bare(w)))
-
-
-def _windows(template: Column, n: Column) -> Column:
-    places = F.sequence(F.lit(1), n - WINDOW + 1)
-    return F.when(n >= WINDOW, F.transform(places, lambda i: F.xxhash64(F.slice(template, i, F.lit(WINDOW)))))
+def _prepared(rows: DataFrame, text_col: str) -> DataFrame:
+    """``rows`` with ``template`` (words), ``n`` and, for each word, ``slot``: the value that a placeholder stands for, else null."""
+    rows = rows.withColumn("__clean", cleaned(F.col(text_col))).withColumn("__template", template_of(F.col("__clean")))
+    words, bare = F.split(F.regexp_replace(F.lower("__clean"), "[.!?/']+(?= |$)", ""), " "), F.split("__template", " ")
+    slot = F.zip_with(words, bare, lambda w, t: F.when(F.startswith(t, F.lit("<")), w))
+    rows = rows.withColumn("slot", F.when(F.contains("__template", F.lit("<")), slot)).withColumn("template", bare)
+    return rows.withColumn("n", F.size("template")).drop("__clean", "__template")
 
 
-def _slots(words: Column, template: Column, at: Column) -> Column:
-    """The values of a window's placeholders, and null for its words."""
-    pairs = F.arrays_zip(F.slice(words, at, F.lit(WINDOW)).alias("w"), F.slice(template, at, F.lit(WINDOW)).alias("t"))
-    return F.transform(pairs, lambda p: F.when(F.startswith(p["t"], F.lit("<")), F.lower(_bare(p["w"]))))
+def _windows(rows: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, ``at`` (from 1) and ``hash`` of every window. Of documents, only the key goes into the exploded rows, not the words."""
+    rows = rows.filter(F.col("n") >= WINDOW).withColumn("codes", F.transform("template", lambda w: F.xxhash64(w)))
+    starts = F.sequence(F.lit(1), F.col("n") - WINDOW + 1)
+    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice("codes", i, F.lit(WINDOW))))
+    return rows.select(*keep, F.posexplode(hashes).alias("i", "hash")).select(*keep, (F.col("i") + 1).alias("at"), "hash")
 
 
-def _prepared(rows: DataFrame, text_col: str) -> DataFrame:
-    rows = rows.withColumn("words", words_of(F.col(text_col)))
-    return rows.withColumn("template", template_of(F.col("words")))
+def _slots(at: str) -> Column:
+    return F.slice("slot", F.col(at), F.lit(WINDOW))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """hash, item_id, item_at, n_item (windows of the item), item_slots."""
-    items = _prepared(benchmark.select("item_id", "text"), "text").filter(F.size("template") >= WINDOW)
-    items = items.groupBy("template").agg(F.min_by("words", "item_id").alias("words"), F.min("item_id").alias("item_id"))
-    items = items.withColumn("n_item", F.size("template") - WINDOW + 1)
-    at = items.select("*", F.posexplode(_windows(F.col("template"), F.size("template"))).alias("i", "hash"))
-    at = at.withColumn("item_at", F.col("i") + 1)
-    placeholders = F.size(F.filter(F.slice("template", F.col("item_at"), F.lit(WINDOW)), lambda t: F.startswith(t, F.lit("<"))))
-    at = at.filter(WINDOW - placeholders >= LITERALS)
-    return at.select("hash", "item_id", "item_at", "n_item", _slots(F.col("words"), F.col("template"), F.col("item_at")).alias("item_slots"))
+    items = _prepared(benchmark.select("item_id", "text"), "text").filter(F.col("n") >= WINDOW)
+    items = items.groupBy("template", "n").agg(F.min_by("slot", "item_id").alias("slot"), F.min("item_id").alias("item_id"))
+    at = _windows(items.withColumn("n_item", F.col("n") - WINDOW + 1), "item_id", "n_item", "slot")
+    at = at.select("hash", "item_id", F.col("at").alias("item_at"), "n_item", _slots("at").alias("item_slots"))
+    placeholders = F.coalesce(F.size(F.filter("item_slots", lambda x: x.isNotNull())), F.lit(0))
+    return at.filter(WINDOW - F.greatest(placeholders, F.lit(0)) >= LITERALS)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -99,13 +87,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bench = benchmark_windows(benchmark)
     if bench.count() <= MAX_BROADCAST:
         bench = F.broadcast(bench)
-    rows = _prepared(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), "text")
-    rows = rows.select("doc_id", "text_hash", "words", "template", F.posexplode(_windows(F.col("template"), F.size("template"))).alias("i", "hash"))
-    met = rows.join(bench, "hash").select(
-        "doc_id", "text_hash", "item_id", "n_item", (F.col("i") + 1 - F.col("item_at")).alias("shift"), "i",
-        F.arrays_zip(F.col("item_slots").alias("a"), _slots(F.col("words"), F.col("template"), F.col("i") + 1).alias("b")).alias("z"),
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    hits = durable(_windows(_prepared(rows, "text"), "doc_id", "text_hash").join(bench, "hash").drop("hash").distinct(), "windows")
+    # the words of the few documents with a hit, each once
+    keys = hits.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    if keys.count() <= MAX_BROADCAST:
+        keys = F.broadcast(keys)
+    same = lambda t: F.col("doc_id").eqNullSafe(t["__id"]) & (F.col("text_hash") == t["__hash"])
+    own = _prepared(rows.join(keys, same(keys), "left_semi").dropDuplicates(["doc_id", "text_hash"]), "text")
+    own = own.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "slot")
+    met = hits.join(own, same(own)).select(
+        "doc_id", "text_hash", "item_id", "n_item", (F.col("at") - F.col("item_at")).alias("shift"), F.col("at").alias("i"),
+        F.arrays_zip(F.col("item_slots").alias("a"), _slots("at").alias("b")).alias("z"),
     )
-    pairs = F.filter(F.col("z"), lambda p: p["a"].isNotNull())
+    pairs = F.coalesce(F.filter(F.col("z"), lambda p: p["a"].isNotNull()), F.array().cast("array<struct<a:string,b:string>>"))
     runs = met.groupBy("doc_id", "text_hash", "item_id", "shift").agg(
         F.max("n_item").alias("n_item"), F.count_distinct("i").alias("n_windows"),
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"),
