@@ -62,9 +62,10 @@ def _prepared(rows: DataFrame, text_col: str) -> DataFrame:
 
 def _windows(rows: DataFrame, *keep: str) -> DataFrame:
     """``keep``, ``at`` (from 1) and ``hash`` of every window. Of documents, only the key goes into the exploded rows, not the words."""
-    rows = rows.filter(F.col("n") >= WINDOW).withColumn("codes", F.transform("template", lambda w: F.xxhash64(w)))
+    rows = rows.withColumn("codes", F.transform("template", lambda w: F.xxhash64(w)))
     starts = F.sequence(F.lit(1), F.col("n") - WINDOW + 1)
     hashes = F.transform(starts, lambda i: F.xxhash64(F.slice("codes", i, F.lit(WINDOW))))
+    hashes = F.when(F.col("n") >= WINDOW, hashes)  # no filter, which would evaluate the templates a second time
     return rows.select(*keep, F.posexplode(hashes).alias("i", "hash")).select(*keep, (F.col("i") + 1).alias("at"), "hash")
 
 
