@@ -111,6 +111,6 @@ def changes_pair_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 @PLANS.add(f"""with {t.CHANGES}, {t.TRANSITIONS} select 'audit' as source, id as ref, "at" from changes
 union all select 'transition', event_id, "at" from transitions""")
 def changes_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = t.changes(spark, sf_dir).filter("target_id % 50 = 7").select(F.lit("audit").alias("source"), F.col("id").alias("ref"), "at")
-    b = t.transitions(spark, sf_dir).filter("episode_id % 50 = 7").select(F.lit("transition").alias("source"), F.col("event_id").alias("ref"), "at")
+    a = t.changes(spark, sf_dir).select(F.lit("audit").alias("source"), F.col("id").alias("ref"), "at")
+    b = t.transitions(spark, sf_dir).select(F.lit("transition").alias("source"), F.col("event_id").alias("ref"), "at")
     return a.unionByName(b)
