@@ -125,7 +125,7 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     severity = F.when(F.col("role") == "user", 9).when(F.col("role") == "assistant", 13).otherwise(17)
     return k.select(
         F.col("conv_id").alias("stream"), F.col("turn").alias("seq"), severity.cast("long").alias("severity"),
-        F.concat(F.lit("conn "), text("conv_id"), F.lit(" id "), F.substring(F.md5(text("turn").cast("binary")), 1, 10), F.lit(" "), F.substring("text", 1, 20)).alias("body"),
+        F.concat(F.lit("conn "), text("conv_id"), F.lit(" id "), F.substring(F.md5(text("turn").cast("binary")), 1, 10), F.lit(" "), F.col("text")).alias("body"),
     )
 
 
