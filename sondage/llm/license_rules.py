@@ -1,11 +1,11 @@
 """License scan with ordered signature rules, in DataFrame functions alone.
 
 A text is brought to words (A-Z lower-cased; everything but letters, digits and non-ASCII characters separates). A few
-keywords gate everything: a document without one never meets a regular expression, and a rule only runs where its own
-keyword occurs. Detections are word intervals. A detection that lies inside another one is suppressed: intervals are
+keywords gate everything: a document without one never meets a regular expression, and a rule only runs where one of
+its own keywords occurs. Detections are word intervals. A detection that lies inside another one is suppressed: intervals are
 ordered by start, then longer first, then the rule's priority, and one pass with the furthest end so far decides.
 
-The rules come from hand-written families (name, versions, keyword) by notice, SPDX, URL and mention templates. No shuffle:
+The rules come from hand-written families (name, versions, keywords) by notice, SPDX, URL and mention templates. No shuffle:
 every step works on a row's own arrays, so neither hot sources nor copies matter.
 
 Defined cases: a null text is empty and has no words; an empty text has 0 words, null positions, empty labels and score 0;
@@ -29,10 +29,10 @@ BASE_PHRASES = {
 }
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: label, keyword, the license's name as a regex over words, versions
+#: label, keywords (every spelling of the name holds one of them), the license's name as a regex over words, versions
 FAMILIES = (
     ("agpl", "affero", "(?:gnu )?affero general public licen[cs]e", ("1", "3")),
-    ("lgpl", "lesser", "(?:gnu )?(?:lesser|library) general public licen[cs]e", ("2", "2 1", "3")),
+    ("lgpl", "lesser library", "(?:gnu )?(?:lesser|library) general public licen[cs]e", ("2", "2 1", "3")),
     ("gpl", "general", "(?:gnu )?general public licen[cs]e", ("1", "2", "3")),
     ("gfdl", "documentation", "gnu free documentation licen[cs]e", ("1 1", "1 2", "1 3")),
     ("apache", "apache", "apache(?: software)? licen[cs]e", ("1 0", "1 1", "2 0", "2")),
@@ -54,18 +54,18 @@ FAMILIES = (
     ("cecill", "cecill", "cecill(?: free software)?(?: licen[cs]e)?", ("1 0", "2 0", "2 1")),
     ("ofl", "font", "(?:sil )?open font licen[cs]e", ("1 0", "1 1")),
     ("odbl", "database", "open(?: data commons)? database licen[cs]e", ("1 0",)),
-    ("python", "python", "(?:python software foundation|psf|python) licen[cs]e", ("2", "2 0")),
+    ("python", "python psf", "(?:python software foundation|psf|python) licen[cs]e", ("2", "2 0")),
     ("php", "php", "php licen[cs]e", ("3 0", "3 01")),
     ("ruby", "ruby", "ruby licen[cs]e", ()),
     ("openssl", "openssl", "openssl licen[cs]e", ()),
     ("bsl", "business", "business source licen[cs]e", ("1 1",)),
     ("sspl", "server", "server side public licen[cs]e", ("1",)),
     ("elastic", "elastic", "elastic licen[cs]e", ("1", "2", "2 0")),
-    ("cc-by-nc-nd", "nc", "(?:cc|creative commons) (?:by|attribution) (?:nc|noncommercial) (?:nd|noderivatives|noderivs)", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc-sa", "nc", "(?:cc|creative commons) (?:by|attribution) (?:nc|noncommercial) (?:sa|sharealike)", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc", "nc", "(?:cc|creative commons) (?:by|attribution) (?:nc|noncommercial)", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nd", "nd", "(?:cc|creative commons) (?:by|attribution) (?:nd|noderivatives|noderivs)", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-sa", "sa", "(?:cc|creative commons) (?:by|attribution) (?:sa|sharealike)", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nc-nd", "nc noncommercial", "(?:cc|creative commons) (?:by|attribution) (?:nc|noncommercial) (?:nd|noderivatives|noderivs)", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nc-sa", "nc noncommercial", "(?:cc|creative commons) (?:by|attribution) (?:nc|noncommercial) (?:sa|sharealike)", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nc", "nc noncommercial", "(?:cc|creative commons) (?:by|attribution) (?:nc|noncommercial)", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-nd", "nd noderivatives noderivs", "(?:cc|creative commons) (?:by|attribution) (?:nd|noderivatives|noderivs)", ("2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-sa", "sa sharealike", "(?:cc|creative commons) (?:by|attribution) (?:sa|sharealike)", ("2 0", "2 5", "3 0", "4 0")),
     ("cc-by", "cc", "cc by", ("2 0", "2 5", "3 0", "4 0")),
     ("cc-by", "creative", "creative commons attribution", ("2 0", "2 5", "3 0", "4 0")),
     ("cc0", "cc0", "cc0", ("1 0",)),
@@ -82,7 +82,7 @@ NOTICE = "(?:licen[cs]ed|released|distributed|published|available) under (?:the
 def rules() -> list[dict]:
     """The ordered rules: a smaller priority is the more specific one. Confidence is the weight of a rule's evidence."""
     made = []
-    for label, keyword, name, versions in FAMILIES:
+    for label, keywords, name, versions in FAMILIES:
         spdx = label.replace("-", " ")
         forms = []
         for v in versions:
@@ -97,7 +97,7 @@ def rules() -> list[dict]:
             (0.9, f"spdx licen[cs]e identifier {spdx}"),
             (0.7, name),
         ]
-        made += [{"label": label, "keyword": "spdx" if "spdx" in p else keyword, "confidence": c, "pattern": p} for c, p in forms]
+        made += [{"label": label, "keywords": "spdx" if "spdx" in p else keywords, "confidence": c, "pattern": p} for c, p in forms]
     return [r | {"priority": i} for i, r in enumerate(made)]
 
 
@@ -128,16 +128,17 @@ def scan(docs: DataFrame, text_col: str = "text", into: str = "found") -> DataFr
     ``found`` holds label, confidence, start and end (in characters of ``words``), one entry for each label and interval kept.
     """
     table = rules()
-    kind = "array<struct<label:string,keyword:string,confidence:double,pattern:string,priority:int>>"
+    kind = "array<struct<label:string,keywords:string,confidence:double,pattern:string,priority:int>>"
     literal = F.from_json(F.lit(json.dumps(table)), kind)  # folded to a constant once
-    keywords = sorted({r["keyword"] for r in table})
+    keywords = sorted({r["keywords"] for r in table})
     rows = docs.withColumn("words", normalised(F.col(text_col)))
     gate = functools.reduce(lambda a, b: a | b, [F.contains(F.col("words"), F.lit(f" {g}")) for g in GATES])
-    own = F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.col("words"), F.concat(F.lit(" "), k, F.lit(" "))))
+    has = lambda k: functools.reduce(lambda a, b: a | b, [F.contains(F.col("words"), F.lit(f" {w} ")) for w in k.split()])
+    own = F.array_compact(F.array(*[F.when(has(k), F.lit(k)) for k in keywords]))
     rows = rows.withColumn("__kw", F.when(gate, own))
     detected = F.flatten(
         F.transform(
-            F.filter(literal, lambda r: F.array_contains(F.col("__kw"), r["keyword"])),
+            F.filter(literal, lambda r: F.array_contains(F.col("__kw"), r["keywords"])),
             lambda r: F.transform(
                 _places(F.col("words"), r["pattern"]),
                 lambda p: F.struct(
