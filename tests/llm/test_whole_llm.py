@@ -1,9 +1,16 @@
 """The training-data operators on cases that a narrower search would lose."""
 
 import itertools
+import math
+import re
+from collections import Counter
 from re import _parser
 
-from sondage.llm import license_rules
+import pytest
+
+from sondage.llm import backoff_lm, license_rules
+
+SF = "/root/testdata/sf0.001"
 
 
 def _spellings(parsed):
@@ -42,3 +49,53 @@ def test_license_spellings_without_the_short_keyword(spark):
     rows = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
     got = {r.doc_id: r.labels for r in license_rules.op2_license_rules(rows).collect()}
     assert [got[i] for i in range(len(want))] == list(want.values())
+
+
+def _grams(text):
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if x]
+    return list(zip(["", "", *w], ["", *w], w, strict=False))
+
+
+def _backoff(train, text):
+    """n_words, n_backoff, log score of a text by counts that nothing is cut from."""
+    three = Counter(g for t in train for g in _grams(t))
+    two, context3, context2, one = Counter(), Counter(), Counter(), Counter()
+    for (a, b, c), n in three.items():
+        two[b, c] += n
+        context3[a, b] += n
+        context2[b] += n
+        one[c] += n
+    total, backed, all_words = 0.0, 0, _grams(text)
+    for a, b, c in all_words:
+        backed += (a, b, c) not in three
+        if (a, b, c) in three:
+            total += math.log(three[a, b, c] / context3[a, b])
+        elif (b, c) in two:
+            total += math.log(0.4 * two[b, c] / context2[b])
+        else:
+            total += math.log(0.16 * one[c] / sum(one.values())) if c in one else -20.0
+    return len(all_words), backed, total
+
+
+def test_backoff_goes_from_trigrams_to_words(spark):
+    train = ["the old mill sleeps", "the old dog sleeps", "a dog walks", None]
+    other = ["the old mill walks", "a dog sleeps", "mill the unheard", ""]
+    tables = spark.createDataFrame(list(enumerate(train)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(other)), "doc_id long, text string")
+    got = {r.doc_id: r for r in backoff_lm.score(backoff_lm.trigrams(tables[1]), *backoff_lm.fit(backoff_lm.trigrams(tables[0]))).collect()}
+    for i, t in enumerate(other):
+        n, backed, total = _backoff(train, t)
+        assert (got[i].n_words, got[i].n_backoff, got[i].log_score) == (n, backed, pytest.approx(total))
+
+
+def test_backoff_counts_what_occurs_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()
+    rows = spark.createDataFrame([(r.doc_id, r.text) for r in docs], "doc_id long, text string")
+    three = Counter(g for r in docs for g in _grams(r.text))
+    pairs = Counter()
+    for (a, b, _), n in three.items():
+        pairs[a, b] += n
+    for r in backoff_lm.op7_backoff_lm(rows).collect():
+        own = [g for d in docs if d.doc_id == r.doc_id for g in _grams(d.text)]
+        mean = sum(math.log(three[g] / pairs[g[:2]]) for g in own) / len(own) if own else None
+        assert (r.n_words, r.n_backoff) == (len(own), 0)
+        assert r.mean_log_score == (None if mean is None else pytest.approx(mean, abs=2e-5))
