@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sondage.sources import discard, durable
+
 RATIO_EPS = 1e-12
 LOW_SAMPLE = 10
 
@@ -41,13 +43,26 @@ def active(records: DataFrame) -> DataFrame:
     return records.join(records.filter("supersedes is not null").select(F.col("supersedes").alias("id")).distinct(), "id", "left_anti")
 
 
-def heirs(records: DataFrame, depth: int = 4) -> DataFrame:
-    """The active record at the end of each record's chain; null where the chain is longer than ``depth``."""
-    next_ = records.filter("supersedes is not null").groupBy(F.col("supersedes").alias("heir")).agg(F.min("id").alias("__next"))
-    rows = records.select("id", F.col("id").alias("heir"))
-    for _ in range(depth):
-        rows = rows.join(next_, "heir", "left").select("id", F.coalesce("__next", "heir").alias("heir"))
-    return rows
+def heirs(records: DataFrame) -> DataFrame:
+    """The active record at the end of each record's chain, however long it is; null where the chain runs into a cycle.
+
+    Pointers are doubled: a round joins the open records with where their heir has got to, until no round closes one.
+    """
+    next_ = records.filter("supersedes is not null").groupBy(F.col("supersedes").alias("__of")).agg(F.min("id").alias("__next"))
+    ids = records.select("id").distinct()
+    at = ids.join(next_, F.col("id") == F.col("__of"), "left").select("id", F.coalesce("__next", "id").alias("heir"), F.col("__next").isNotNull().alias("open"))
+    at = durable(at, "heirs")
+    left = at.filter("open").count()
+    while left:
+        reached = at.select(F.col("id").alias("__of"), F.col("heir").alias("__next"), F.col("open").alias("__open"))
+        moved = at.filter("open").join(reached, F.col("heir") == F.col("__of")).select("id", F.col("__next").alias("heir"), F.col("__open").alias("open"))
+        old, at = at, durable(at.filter("not open").unionByName(moved), "heirs")
+        discard(old)
+        before, left = left, at.filter("open").count()
+        if left == before:  # what a chain of any length leaves open shrinks with each round; a cycle does not
+            break
+    found = at.select(F.col("id").alias("__of"), F.when(~F.col("open"), F.col("heir")).alias("heir"))
+    return records.select("id").join(found, F.col("id") == F.col("__of"), "left").select("id", "heir")
 
 
 def resolve(asked: DataFrame, records: DataFrame, scopes: DataFrame) -> DataFrame:

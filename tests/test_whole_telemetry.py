@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+from sondage.operators import evidence
 from sondage.operators.logs import template
 from sondage.plans import registry
 from sondage.sources import telemetry
@@ -41,3 +42,31 @@ def test_templates_of_whole_texts(spark):
     want = Counter(r.t for r in bodies.select(template(bodies.body).alias("t")).collect())
     got = registry.QUERIES["log_template_map"](spark, SF).collect()
     assert {r.template: r.n + r.base_n for r in got} == dict(want)
+
+
+def _walk(next_, i):
+    """The reference's ActiveHeir: to the end of the chain, nothing where it comes back to a record."""
+    seen = set()
+    while i in next_:
+        if i in seen:
+            return None
+        seen.add(i)
+        i = next_[i]
+    return i
+
+
+def test_heirs_of_long_chains_and_cycles(spark):
+    rows = [(i, i + 1 if i < 37 else None) for i in range(1, 38)] + [(101, 102), (102, 103), (103, 101), (104, 999), (105, None), (201, 105), (202, 105)]
+    got = evidence.heirs(spark.createDataFrame(rows, "id long, supersedes long")).collect()
+    next_ = {}
+    for i, s in sorted(rows, reverse=True):
+        next_[s] = i
+    next_.pop(None)
+    assert {r.id: r.heir for r in got} == {i: _walk(next_, i) for i, _ in rows} and len(got) == len(rows)
+    assert {r.heir for r in got if r.id < 38} == {1} and {r.heir for r in got if 101 <= r.id <= 103} == {None}
+
+
+def test_heirs_are_active_records(spark):
+    ids = [r.event_id for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id").collect()]
+    next_ = {i - 18: i for i in ids if i % 9 == 0 and i >= 18}
+    assert {r.id: r.heir for r in registry.QUERIES["evidence_heirs"](spark, SF).collect()} == {i: _walk(next_, i) for i in ids}
