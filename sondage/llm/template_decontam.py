@@ -3,14 +3,15 @@
 Texts and benchmark items become sequences of words in which numbers, units and names are typed placeholders. Windows of
 ``WINDOW`` template words are hashed and joined. Matches on one diagonal (same shift between document and item) belong to one
 occurrence; its slots must be filled consistently: one value of the item may stand for one value of the document only. So a
-question with other numbers or names is found, and a text that merely has the same shape is not.
+question with other numbers or names is found, and a text that merely has the same shape is not. Windows with too few words beside
+their placeholders say nothing as templates; they are joined by a hash of the lower-cased words themselves.
 
 The benchmark is broadcast if a count shows that it has at most ``MAX_BROADCAST`` windows, else joined by shuffle. Documents
 are not shuffled for the search, only their matches, which are stored; the words of documents with a match are then read again
 for their slots. Nothing is ever joined within the documents.
 
 Defined cases: null texts are empty and match nothing; items or documents of fewer than ``WINDOW`` words match nothing; items
-with equal templates count once, under the smallest id; repeated rows (same doc_id and text) give one result; a null doc_id is
+with equal templates and slots count once, under the smallest id; repeated rows (same doc_id and text) give one result; a null doc_id is
 an id like others; other columns are ignored (the query) or kept (``remove_contaminated``); empty tables give empty results.
 """
 
@@ -22,9 +23,10 @@ from pyspark.sql import functions as F
 from sondage.sources import durable
 
 WINDOW = 8
-#: Of the words in a benchmark window, so many must be words, not placeholders.
+#: Of the words in a benchmark window, so many must be words, not placeholders, else only the same words match it.
 LITERALS = 4
-#: So many windows on one diagonal (13 words in a row), or half of a shorter item's, make a document contaminated.
+#: So many windows on one diagonal (13 words in a row), or half of a shorter item's (of all its windows, or, matched as templates,
+#: of those that can match so), make a document contaminated.
 RUN = 6
 MAX_BROADCAST = 200_000
 #: Units that become placeholders behind a number.
@@ -52,44 +54,70 @@ def template_of(clean: Column) -> Column:
 
 
 def _prepared(rows: DataFrame, text_col: str) -> DataFrame:
-    """``rows`` with ``template`` (words), ``n`` and, for each word, ``slot``: the value that a placeholder stands for, else null."""
+    """``rows`` with ``template`` and ``words`` (lower case), ``n`` and, for each, ``slot``: the value that a placeholder stands for, else null."""
     rows = rows.withColumn("__clean", cleaned(F.col(text_col))).withColumn("__template", template_of(F.col("__clean")))
     words, bare = F.split(F.regexp_replace(F.lower("__clean"), "[.!?/']+(?= |$)", ""), " "), F.split("__template", " ")
     slot = F.zip_with(words, bare, lambda w, t: F.when(F.startswith(t, F.lit("<")), w))
-    rows = rows.withColumn("slot", F.when(F.contains("__template", F.lit("<")), slot)).withColumn("template", bare)
+    rows = rows.withColumn("slot", F.when(F.contains("__template", F.lit("<")), slot)).withColumn("words", words).withColumn("template", bare)
     return rows.withColumn("n", F.size("template")).drop("__clean", "__template")
 
 
-def _windows(rows: DataFrame, *keep: str) -> DataFrame:
-    """``keep``, ``at`` (from 1) and ``hash`` of every window. Of documents, only the key goes into the exploded rows, not the words."""
-    rows = rows.withColumn("codes", F.transform("template", lambda w: F.xxhash64(w)))
+def _hashes(words: str, *seed: Column) -> Column:
+    """The hash of every window of words."""
     starts = F.sequence(F.lit(1), F.col("n") - WINDOW + 1)
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice("codes", i, F.lit(WINDOW))))
+    return F.transform(starts, lambda i: F.xxhash64(*seed, F.slice(words, i, F.lit(WINDOW))))
+
+
+def _windows(rows: DataFrame, *keep: str, literal: bool = True) -> DataFrame:
+    """``keep``, ``at`` (from 1), ``weak`` and ``hash`` of every window: of its template and, if ``literal``, once more of its words.
+
+    Of documents, only the key goes into the exploded rows, not the words.
+    """
+    rows = rows.withColumn("codes", F.transform("template", lambda w: F.xxhash64(w)))
+    hashes = _hashes("codes")
+    if literal:
+        rows = rows.withColumn("word_codes", F.transform("words", lambda w: F.xxhash64(w)))
+        hashes = F.concat(hashes, _hashes("word_codes", F.lit("words")))
     hashes = F.when(F.col("n") >= WINDOW, hashes)  # no filter, which would evaluate the templates a second time
-    return rows.select(*keep, F.posexplode(hashes).alias("i", "hash")).select(*keep, (F.col("i") + 1).alias("at"), "hash")
+    at, last = F.col("i") + 1, F.col("n") - WINDOW + 1
+    return rows.select(*keep, "n", F.posexplode(hashes).alias("i", "hash")).select(
+        *keep, F.when(at > last, at - last).otherwise(at).alias("at"), (at > last).alias("weak"), "hash"
+    )
 
 
 def _slots(at: str) -> Column:
     return F.slice("slot", F.col(at), F.lit(WINDOW))
 
 
+def _placeholders(slots: Column) -> Column:
+    return F.coalesce(F.greatest(F.size(F.filter(slots, lambda x: x.isNotNull())), F.lit(0)), F.lit(0))
+
+
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """hash, item_id, item_at, n_item (windows of the item), item_slots."""
+    """hash, weak, item_id, item_at, n_item (windows of the item), n_strong (those that match as templates), item_slots.
+
+    A window has one hash: of its template, or, where that is too ``weak``, of its words.
+    """
     items = _prepared(benchmark.select("item_id", "text"), "text").filter(F.col("n") >= WINDOW)
-    items = items.groupBy("template", "n").agg(F.min_by("slot", "item_id").alias("slot"), F.min("item_id").alias("item_id"))
-    at = _windows(items.withColumn("n_item", F.col("n") - WINDOW + 1), "item_id", "n_item", "slot")
-    at = at.select("hash", "item_id", F.col("at").alias("item_at"), "n_item", _slots("at").alias("item_slots"))
-    placeholders = F.coalesce(F.size(F.filter("item_slots", lambda x: x.isNotNull())), F.lit(0))
-    return at.filter(WINDOW - F.greatest(placeholders, F.lit(0)) >= LITERALS)
+    items = items.groupBy("template", "slot", "n").agg(F.min_by("words", "item_id").alias("words"), F.min("item_id").alias("item_id"))
+    few = lambda slots: WINDOW - _placeholders(slots) >= LITERALS
+    n_item = F.col("n") - WINDOW + 1
+    strong = F.filter(F.sequence(F.lit(1), n_item), lambda i: few(F.slice("slot", i, F.lit(WINDOW))))
+    items = items.withColumn("n_item", n_item).withColumn("n_strong", F.size(strong))
+    at = _windows(items, "item_id", "n_item", "n_strong", "slot")
+    at = at.select("hash", "weak", "item_id", F.col("at").alias("item_at"), "n_item", "n_strong", _slots("at").alias("item_slots"))
+    return at.filter(F.col("weak") != few(F.col("item_slots")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item that it holds: doc_id, text_hash, item_id, n_windows, coverage, changed_slots."""
     bench = benchmark_windows(benchmark)
-    if bench.count() <= MAX_BROADCAST:
+    size = bench.agg(F.count(F.lit(1)).alias("all"), F.count_if("weak").alias("weak")).first()
+    if size["all"] <= MAX_BROADCAST:
         bench = F.broadcast(bench)
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    hits = durable(_windows(_prepared(rows, "text"), "doc_id", "text_hash").join(bench, "hash").drop("hash").distinct(), "windows")
+    found = _windows(_prepared(rows, "text"), "doc_id", "text_hash", literal=size["weak"] > 0)
+    hits = durable(found.join(bench, ["hash", "weak"]).drop("hash").distinct(), "windows")
     # the words of the few documents with a hit, each once
     keys = hits.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     if keys.count() <= MAX_BROADCAST:
@@ -98,17 +126,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     own = _prepared(rows.join(keys, same(keys), "left_semi").dropDuplicates(["doc_id", "text_hash"]), "text")
     own = own.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "slot")
     met = hits.join(own, same(own)).select(
-        "doc_id", "text_hash", "item_id", "n_item", (F.col("at") - F.col("item_at")).alias("shift"), F.col("at").alias("i"),
-        F.arrays_zip(F.col("item_slots").alias("a"), _slots("at").alias("b")).alias("z"),
+        "doc_id", "text_hash", "item_id", "n_item", "n_strong", "weak", (F.col("at") - F.col("item_at")).alias("shift"), F.col("at").alias("i"),
+        F.arrays_zip(F.col("item_slots").alias("a"), F.when(F.col("weak"), F.col("item_slots")).otherwise(_slots("at")).alias("b")).alias("z"),
     )
     pairs = F.coalesce(F.filter(F.col("z"), lambda p: p["a"].isNotNull()), F.array().cast("array<struct<a:string,b:string>>"))
     runs = met.groupBy("doc_id", "text_hash", "item_id", "shift").agg(
-        F.max("n_item").alias("n_item"), F.count_distinct("i").alias("n_windows"),
+        F.max("n_item").alias("n_item"), F.max("n_strong").alias("n_strong"),
+        F.count_distinct("i").alias("n_windows"), F.count_distinct(F.when(~F.col("weak"), F.col("i"))).alias("n_templates"),
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"),
     )
     values = F.array_distinct(F.transform("slots", lambda p: p["a"]))
     changed = F.size(F.filter("slots", lambda p: p["a"] != p["b"]))
-    enough = F.col("n_windows") >= F.least(F.lit(RUN), F.ceil(F.col("n_item") / 2))
+    most = lambda n, of: F.col(n) >= F.least(F.lit(RUN), F.ceil(F.col(of) / 2))
+    enough = most("n_windows", "n_item") | (F.col("n_strong") > 0) & most("n_templates", "n_strong")
     found = runs.filter(enough & (F.size("slots") == F.size(values))).withColumn("changed", changed)
     return found.groupBy("doc_id", "text_hash", "item_id").agg(
         F.max("n_windows").alias("n_windows"),

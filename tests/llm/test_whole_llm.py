@@ -8,7 +8,7 @@ from re import _parser
 
 import pytest
 
-from sondage.llm import backoff_lm, license_rules
+from sondage.llm import backoff_lm, license_rules, template_decontam
 
 SF = "/root/testdata/sf0.001"
 
@@ -99,3 +99,35 @@ def test_backoff_counts_what_occurs_once(spark):
         mean = sum(math.log(three[g] / pairs[g[:2]]) for g in own) / len(own) if own else None
         assert (r.n_words, r.n_backoff) == (len(own), 0)
         assert r.mean_log_score == (None if mean is None else pytest.approx(mean, abs=2e-5))
+
+
+BEFORE, AFTER = "some plain words come before this and ", " while more plain words follow after it"
+FAMILY = "the farmer in our village sold {} apples and {} pears at the market on the hill last week"
+TITLE = "Every Title In This Item Is Written With Capital Letters So That Nothing Is Left For A Template Here"
+NUMBERS = "add 12 14 16 18 20 22 24 and 26 28 30 32 34 36 38 to get 40 42 44 46 48 50"
+
+
+def test_every_item_of_a_family_is_found(spark):
+    bench = spark.createDataFrame([(1, FAMILY.format(3, 3)), (2, FAMILY.format(3, 4))], "item_id long, text string")
+    texts = [FAMILY.format(3, 4), FAMILY.format(3, 3), FAMILY.format(7, 9), "nothing of this kind is told in a text about the weather of the north"]
+    docs = spark.createDataFrame([(i, BEFORE + t + AFTER) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.changed_slots for r in template_decontam.op3_template_decontam(docs, bench).collect()}
+    assert got[0, 2] == 0 and (0, 1) not in got and got[1, 1] == 0 and got[2, 2] == 2 and (2, 1) not in got
+    assert [r.doc_id for r in template_decontam.remove_contaminated(docs, bench).collect()] == [3]
+
+
+def test_items_that_are_all_placeholders_are_found_verbatim(spark):
+    items = [TITLE, TITLE.upper().replace("EVERY", "NO"), NUMBERS]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    other = ["Other Titles Are Also Written With Capital Letters And Hold Only Names But They Are Not The Same Words", "add " + "7 9 " * 10]
+    docs = spark.createDataFrame([(i, BEFORE + t + AFTER) for i, t in enumerate([*items, *other])], "doc_id long, text string")
+    rows = template_decontam.op3_template_decontam(docs, bench).collect()
+    assert {(i, i) for i in range(len(items))} <= {(r.doc_id, r.item_id) for r in rows} and {r.doc_id for r in rows} == {0, 1, 2}
+    assert sorted(r.doc_id for r in template_decontam.remove_contaminated(docs, bench).collect()) == [3, 4]
+
+
+def test_other_numbers_in_an_item_of_few_template_windows(spark):
+    bench = spark.createDataFrame([(1, "the sum of the first numbers is taken " + NUMBERS)], "item_id long, text string")
+    changed = "the sum of the first numbers is taken " + re.sub("[0-9]+", lambda m: str(int(m[0]) + 100), NUMBERS)
+    docs = spark.createDataFrame([(1, BEFORE + changed + AFTER)], "doc_id long, text string")
+    assert [r.item_id for r in template_decontam.op3_template_decontam(docs, bench).collect()] == [1]
