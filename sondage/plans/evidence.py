@@ -66,8 +66,8 @@ from asked a left join own on a.target_id = own.target_id and a.metric = own.met
 def scope_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = records(spark, sf_dir)
     asked = r.select("metric").distinct().select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long"))).alias("target_id"), "metric")
-    scopes = r.filter("id % 50 = 1").select("target_id", ((F.col("id") % 3 != 0) | (F.col("target_id") % 2 == 0)).alias("complete"))
-    return op.resolve(asked, r.filter("id % 101 = 0"), scopes)
+    scopes = r.select("target_id", ((F.col("id") % 3 != 0) | (F.col("target_id") % 2 == 0)).alias("complete"))
+    return op.resolve(asked, r, scopes)
 
 
 PREDICATES = f"""{RECORDS}, p as (select *, ['present', 'absent', 'magnitude_ge', 'magnitude_lt', 'direction_up', 'direction_down'][(event_id % 6)::int + 1] as predicate, case when event_id % 19 > 0 then 50.0 end as threshold from r),

@@ -98,7 +98,7 @@ ways as (select 's' || s::varchar as a, 'p' || p::varchar as b from e union sele
 walk as (select 's1' as node, 0 as hop union select b, hop + 1 from walk join ways on a = node where hop < 3)
 select node, min(hop)::bigint as hop from walk group by 1""")
 def topology_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = t.read_table(spark, sf_dir, "lineitem").filter("l_quantity >= 50")
+    line = t.read_table(spark, sf_dir, "lineitem")
     edges = line.select(F.concat(F.lit("s"), t.text("l_suppkey")).alias("src"), F.concat(F.lit("p"), t.text("l_partkey")).alias("dst")).distinct()
     return op.expand(edges, spark.createDataFrame([("s1",)], "node string"), 3)
 

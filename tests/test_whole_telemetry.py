@@ -70,3 +70,49 @@ def test_heirs_are_active_records(spark):
     ids = [r.event_id for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id").collect()]
     next_ = {i - 18: i for i in ids if i % 9 == 0 and i >= 18}
     assert {r.id: r.heir for r in registry.QUERIES["evidence_heirs"](spark, SF).collect()} == {i: _walk(next_, i) for i in ids}
+
+
+def _table(spark, name):
+    return spark.read.parquet(f"{SF}/{name}.parquet").collect()
+
+
+def test_topology_walks_all_edges(spark):
+    ways = {}
+    for r in _table(spark, "lineitem"):
+        ways.setdefault(f"s{r.l_suppkey}", set()).add(f"p{r.l_partkey}")
+        ways.setdefault(f"p{r.l_partkey}", set()).add(f"s{r.l_suppkey}")
+    want, now = {"s1": 0}, {"s1"}
+    for hop in (1, 2, 3):
+        now = {b for a in now for b in ways.get(a, ())} - set(want)
+        want |= dict.fromkeys(now, hop)
+    assert {r.node: r.hop for r in registry.QUERIES["topology_bfs"](spark, SF).collect()} == want
+
+
+def test_plan_stability_counts_all_captures(spark):
+    n, plans = Counter(), {}
+    for r in _table(spark, "lineitem"):
+        n[k := f"q{r.l_partkey % 300}"] += 1
+        plans.setdefault(k, set()).add(r.l_suppkey % 7)
+    share = {k: len(plans[k]) / n[k] for k in n}
+    want = {k: (n[k], len(plans[k]), "unknown" if n[k] < 5 else "unstable" if share[k] >= 0.9 else "stable" if share[k] <= 0.2 else "mixed") for k in n}
+    got = registry.QUERIES["plan_stability"](spark, SF).collect()
+    assert {r.sql_key: (r.captures, r.plans, r.stability) for r in got} == want
+
+
+def test_scopes_resolve_against_all_records(spark):
+    n, complete, metrics = Counter(), {}, set()
+    for r in _table(spark, "events"):
+        target, metric = r.user_id % 40, f"{r.event_type.lower()} rate"
+        n[target, metric] += 1
+        metrics.add(metric)
+        complete[target] = complete.get(target, True) and (r.event_id % 3 != 0 or target % 2 == 0)
+    scope = {True: "scope", False: "scope_incomplete", None: "unmeasured"}
+    want = {(t, m): "ambiguous" if n[t, m] > 1 else "entity" if n[t, m] else scope[complete.get(t)] for t in range(50) for m in metrics}
+    got = registry.QUERIES["scope_resolution"](spark, SF).collect()
+    assert {(r.target_id, r.metric): r.resolution for r in got} == want
+
+
+def test_span_page_is_of_all_spans(spark):
+    want = sorted((r.l_shipdate, r.l_orderkey, r.l_linenumber) for r in _table(spark, "lineitem"))[:51]
+    got = registry.QUERIES["trace_span_page"](spark, SF).collect()
+    assert sorted((r.ts, r.trace_id, r.span_id) for r in got) == want
