@@ -25,21 +25,31 @@ def register_views(spark: SparkSession, sf_dir: str) -> None:
         read_table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
-#: A batch of so many long texts, with what Python makes of it, fits beside a small executor's heap.
+#: A batch of so many texts, or of so many bytes of text, with what Python makes of it, fits beside a small executor's heap.
 TEXTS_AT_ONCE = 1_000
+BYTES_AT_ONCE = 16 << 20
 
 
 def text_batches(df: DataFrame) -> DataFrame:
-    """``df``, after seeing to it that Arrow batches of its session hold at most ``TEXTS_AT_ONCE`` rows."""
-    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if not 0 < int(conf.get(key)) <= TEXTS_AT_ONCE:
-        conf.set(key, str(TEXTS_AT_ONCE))
+    """``df``, after seeing to it that Arrow batches of its session are bounded in rows and in bytes.
+
+    Plans are lazy, so the bounds stay set in the session; smaller ones of the caller stay as they are.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", TEXTS_AT_ONCE), ("maxBytesPerBatch", BYTES_AT_ONCE)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
     return df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and all runs in one local process (tests), a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not at and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir is not set; on a cluster it must name a folder that driver and executors share")
     return at or f"file://{tempfile.gettempdir()}/sondage-checkpoints"
 
 
