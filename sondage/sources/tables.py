@@ -53,15 +53,24 @@ def shared_dir(spark: SparkSession) -> str:
     return at or f"file://{tempfile.gettempdir()}/sondage-checkpoints"
 
 
+#: Spark drops the shuffle files of a query when it ends, not when the driver's memory is next collected.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame, name: str = "stage", rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation, and two readers see the same
-    rows in the same files. The files go when the driver ends.
+    rows in the same files. The files go when the driver ends, those of the shuffles at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
+    was = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
+    finally:
+        spark.conf.unset(DROP_SHUFFLES) if was is None else spark.conf.set(DROP_SHUFFLES, was)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
