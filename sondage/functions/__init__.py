@@ -1,0 +1,5 @@
+"""Functions over whole tables that Spark's own ones only do in a single task."""
+
+from sondage.functions.ranking import ranked
+
+__all__ = ["ranked"]

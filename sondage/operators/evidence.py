@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sondage.functions import ranked
 from sondage.sources import discard, durable
 
 RATIO_EPS = 1e-12
@@ -117,9 +117,9 @@ def tally(judged: DataFrame) -> DataFrame:
 def rank(tallies: DataFrame) -> DataFrame:
     """More qualified, more weak support, larger share of necessary predicates not refuted, earlier creation."""
     kept = F.when(F.col("necessary") > 0, 1 - F.col("refuted") / F.col("necessary")).otherwise(1.0)
-    order = W.orderBy(F.desc("qualified"), F.desc("weak"), F.desc("kept"), "hypothesis")
+    order = [F.desc("qualified"), F.desc("weak"), F.desc("kept"), F.asc("hypothesis")]
     decision = F.when(F.col("refuted") > 0, "refuted").when(F.col("qualified") >= 2, "confirmed").when(F.col("qualified") + F.col("weak") > 0, "provisional").otherwise("insufficient")
-    return tallies.withColumn("kept", kept).withColumn("rank", F.row_number().over(order).cast("long")).withColumn("decision", decision)
+    return ranked(tallies.withColumn("kept", kept), order).withColumn("decision", decision)
 
 
 def rollups(records: DataFrame) -> DataFrame:
@@ -149,9 +149,3 @@ def pseudonyms(c: Column) -> Column:
     names = F.regexp_extract_all(c, F.lit("((?:scenario|case)-[A-Za-z0-9]+)"), F.lit(1))
     opaque = F.transform(names, lambda n: F.concat(F.lit("opaque-"), F.substring(F.sha2(n.cast("binary"), 256), 1, 24)))
     return F.array_join(F.flatten(F.transform(F.arrays_zip(parts.alias("p"), opaque.alias("o")), lambda z: F.array(z["p"], F.coalesce(z["o"], F.lit(""))))), "")
-
-
-def sections(text_length: DataFrame, budget: int) -> DataFrame:
-    """rows(id, rank, size): which fit a budget when taken in rank order."""
-    before = F.coalesce(F.sum("size").over(W.orderBy("rank", "id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return text_length.withColumn("start", before).withColumn("fits", before + F.col("size") <= budget)

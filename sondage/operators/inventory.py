@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sondage.functions import ranked
+from sondage.sources import durable
+
 
 def search(targets: DataFrame, query: str, columns: list[str], limit: int, offset: int = 0) -> DataFrame:
     """Literal substring in any case; one row beyond the page tells that there is more."""
@@ -29,23 +32,29 @@ def parent_chain(targets: DataFrame, depth: int = 6) -> DataFrame:
 
 def children_counts(targets: DataFrame, listed: int = 10) -> DataFrame:
     """How many children each target has by type, and which, if there are few."""
-    n = F.count(F.lit(1))
-    ids = F.array_join(F.array_sort(F.collect_list("id")), ",")
-    kids = targets.filter("parent_id is not null").groupBy("parent_id", "type")
-    return kids.agg(n.alias("n"), F.when(n <= listed, ids).alias("ids"))
+    kids = targets.filter("parent_id is not null").select("parent_id", "type", "id")
+    counts = kids.groupBy("parent_id", "type").agg(F.count(F.lit(1)).alias("n"))
+    few = kids.join(counts.filter(F.col("n") <= listed).drop("n"), ["parent_id", "type"], "left_semi")  # only short lists are gathered
+    ids = few.groupBy("parent_id", "type").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
+    return counts.join(ids, ["parent_id", "type"], "left")
 
 
-def peers(targets: DataFrame) -> DataFrame:
-    """Targets of the same group and type, without the target itself."""
+def peers(targets: DataFrame, asked: DataFrame) -> DataFrame:
+    """For the asked targets (id) those of the same group and type, without the target itself."""
     p = targets.select(F.col("id").alias("peer"), F.col("group_id").alias("g"), F.col("type").alias("t"))
-    return targets.join(p, (F.col("group_id") == F.col("g")) & (F.col("type") == F.col("t"))).filter("id <> peer").select("id", "peer")
+    own = targets.join(asked.select("id").distinct(), "id", "left_semi")
+    return own.join(p, (F.col("group_id") == F.col("g")) & (F.col("type") == F.col("t"))).filter("id <> peer").select("id", "peer")
+
 
+def peer_verdict(states: DataFrame, targets: DataFrame) -> DataFrame:
+    """states(id, deviating) against the states of the other targets of its group and type: alone, shared, self_not_deviating or undecidable.
 
-def peer_verdict(states: DataFrame, peer_of: DataFrame) -> DataFrame:
-    """states(id, deviating) and who is whose peer: alone, shared, self_not_deviating or undecidable."""
-    other = states.select(F.col("id").alias("peer"), F.col("deviating").alias("also"))
-    n = peer_of.join(other, "peer").groupBy("id").agg(F.count(F.lit(1)).alias("compared"), F.count_if("also").alias("n_deviating"))
-    rows = states.join(n, "id", "left").fillna({"compared": 0, "n_deviating": 0})
+    Counts of the group less the row itself, so no pairs are made.
+    """
+    own = targets.filter("group_id is not null and type is not null").select("id", "group_id", "type").join(states, "id")
+    group = own.groupBy("group_id", "type").agg(F.count(F.lit(1)).alias("n"), F.count_if("deviating").alias("d"))
+    less = own.join(group, ["group_id", "type"]).select("id", (F.col("n") - 1).alias("compared"), (F.col("d") - F.col("deviating").cast("long")).alias("n_deviating"))
+    rows = states.join(less, "id", "left").fillna({"compared": 0, "n_deviating": 0})
     verdict = F.when(F.col("compared") == 0, "undecidable").when(~F.col("deviating"), "self_not_deviating").when(F.col("n_deviating") > 0, "shared").otherwise("alone")
     return rows.select("id", "compared", "n_deviating", verdict.alias("verdict"))
 
@@ -74,7 +83,7 @@ def latest_and_peaks(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 def top_share(rows: DataFrame, keys: list[str], most: int, dominant: float = 0.5) -> DataFrame:
     """Mean of the series' means by key, its share of all, the largest first."""
     avg = rows.groupBy(*keys, "dim").agg(F.avg("value").alias("v")).groupBy(*keys).agg(F.avg("v").alias("avg"))
-    share = F.col("avg") / F.sum("avg").over(W.partitionBy())
+    share = F.col("avg") / F.lit(avg.agg(F.sum("avg")).first()[0])
     return avg.select(*keys, "avg", share.alias("share"), (share >= dominant).alias("anomalous")).orderBy(F.desc("avg"), *keys).limit(most)
 
 
@@ -89,12 +98,13 @@ def coverage(wanted: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
 
 def expand(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """Nodes within ``hops`` steps of a seed, with the least number of steps. edges(src, dst) are walked both ways."""
-    ways = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    ways = durable(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "ways")
     seen = seeds.select("node").distinct().withColumn("hop", F.lit(0).cast("long"))
     frontier = seen
     for hop in range(1, hops + 1):
         reached = ways.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
         frontier = reached.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop).cast("long"))
+        frontier = durable(frontier, "frontier")  # no hop repeats the ones before
         seen = seen.unionByName(frontier)
     return seen
 
@@ -109,8 +119,7 @@ def service_identity(rows: DataFrame) -> DataFrame:
 def triage(members: DataFrame) -> DataFrame:
     """Members folded by (target, metric): anomalies first, then severity, first time, id."""
     folded = members.groupBy("target_id", "metric").agg(F.bool_or("anomalous").alias("anomalous"), F.max("severity").alias("severity"), F.min("at").alias("first_at"), F.count(F.lit(1)).alias("n"))
-    order = W.orderBy(F.desc("anomalous"), F.desc("severity"), "first_at", "target_id", "metric")
-    return folded.withColumn("rank", F.row_number().over(order).cast("long"))
+    return ranked(folded, [F.desc("anomalous"), F.desc("severity"), F.asc("first_at"), F.asc("target_id"), F.asc("metric")])
 
 
 def coverage_grid(wanted: DataFrame, domains: list[str], calls: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sondage.functions import ranked
+
 #: Thresholds of the comparisons.
 Z_SHIFTED = 3.0
 PRESENCE_INTERMITTENT = 0.30
@@ -40,7 +42,8 @@ def mean_over(folded: DataFrame) -> DataFrame:
 def increases(series: DataFrame, key: str = "name") -> DataFrame:
     """Adjacent differences of a counter; a reset counts 0; the first point has none."""
     step = F.col("value") - F.lag("value").over(W.partitionBy(key).orderBy("bucket"))
-    return series.select(key, "bucket", F.greatest(step, F.lit(0.0)).alias("value")).filter("value is not null")
+    steps = series.select(key, "bucket", step.alias("step")).filter("step is not null")  # greatest() would take 0 for null
+    return steps.select(key, "bucket", F.greatest("step", F.lit(0.0)).alias("value"))
 
 
 def robust_stats(series: DataFrame, key: str = "name") -> DataFrame:
@@ -90,10 +93,10 @@ def onset(current: DataFrame, baseline: DataFrame, threshold: float = Z_SHIFTED,
 
 def timeline(onsets: DataFrame) -> DataFrame:
     """Onsets in order with the gap to the one before; overlapping intervals can't be ordered."""
-    w = W.orderBy("onset_from", "onset_to", "name")
-    found = onsets.filter("state = 'found'")  # one row for each metric, so one partition is enough
-    before = F.lag("onset_to").over(w)
-    return found.select(
+    found = ranked(onsets.filter("state = 'found'"), [F.asc("onset_from"), F.asc("onset_to"), F.asc("name")])
+    last = found.select((F.col("rank") + 1).alias("rank"), F.col("onset_to").alias("__before"))
+    before = F.col("__before")
+    return found.join(last, "rank", "left").select(
         "name", "onset_from", "onset_to",
         F.when(before.isNull(), "first").when(F.col("onset_from") < before, "indeterminate").otherwise("after").alias("versus_previous"),
         F.when(F.col("onset_from") >= before, F.col("onset_from") - before).alias("gap_seconds"),
@@ -112,9 +115,9 @@ def downsample(series: DataFrame, most: int, total: bool = False, key: str = "na
 def top_groups(buckets: DataFrame, label: str, most: int) -> DataFrame:
     """The label's ``most`` largest values by sum, all others merged as (other) by summing each bucket."""
     sums = buckets.groupBy(label).agg(F.sum("value").alias("total"))
-    rank = F.row_number().over(W.orderBy(F.desc("total"), label))
-    names = sums.withColumn("rank", rank).select(label, F.when(F.col("rank") <= most, F.col(label)).otherwise("(other)").alias("group"))
-    return buckets.join(names, label).groupBy("group", "bucket").agg(F.sum("value").alias("value"))
+    top = F.broadcast(sums.orderBy(F.desc("total"), label).limit(most).select(label, F.col(label).alias("group")))  # at most ``most`` rows
+    rows = buckets.join(top, label, "left").withColumn("group", F.coalesce("group", F.lit("(other)")))
+    return rows.groupBy("group", "bucket").agg(F.sum("value").alias("value"))
 
 
 def window_stats(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -137,20 +140,20 @@ def relative_change(current: DataFrame, baseline: DataFrame, key: str = "name")
     c, b = (d.groupBy(key).agg(F.avg("value").alias(n)) for d, n in ((current, "c"), (baseline, "b")))
     score = F.abs(F.col("c") - F.col("b")) / F.greatest(F.abs("b"), F.lit(1e-9))
     rows = c.join(b, key, "left").select(key, "c", "b", score.alias("score"), F.col("b").isNull().alias("is_new"))
-    return rows.withColumn("rank", F.row_number().over(W.orderBy(F.desc("is_new"), F.desc_nulls_last("score"), key)).cast("long"))
+    return ranked(rows, [F.desc("is_new"), F.desc_nulls_last("score"), F.asc(key)])
 
 
 def share_of_total(df: DataFrame, label: str, dominant: float = 0.5) -> DataFrame:
     sums = df.groupBy(label).agg(F.sum("value").alias("total"))
-    share = F.col("total") / F.sum("total").over(W.partitionBy())
+    share = F.col("total") / F.lit(df.agg(F.sum("value")).first()[0])
     return sums.select(label, "total", share.alias("share"), (share >= dominant).alias("dominant"))
 
 
 def silent_targets(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """Targets that emitted before and don't now; one alone is isolated, more are widespread."""
     gone = baseline.select("target_id").distinct().join(current.select("target_id").distinct(), "target_id", "left_anti")
-    n = F.count(F.lit(1)).over(W.partitionBy())
-    return gone.select("target_id", F.when(n <= 1, "isolated").otherwise("widespread").alias("scope"))
+    alone = gone.limit(2).count() <= 1
+    return gone.select("target_id", F.lit("isolated" if alone else "widespread").alias("scope"))
 
 
 def capacity(usage: DataFrame, limits: DataFrame, on: str) -> DataFrame:
@@ -162,10 +165,21 @@ def capacity(usage: DataFrame, limits: DataFrame, on: str) -> DataFrame:
 
 
 def change_points(series: DataFrame, key: str = "name", tolerance: float = 1e-9) -> DataFrame:
-    """Points whose value differs from the one before by more than a relative tolerance."""
-    before = F.lag("value").over(W.partitionBy(key).orderBy("bucket"))
-    rows = series.select(key, "bucket", before.alias("was"), F.col("value").alias("is"))
-    return rows.filter(F.abs(F.col("is") - F.col("was")) > tolerance * F.greatest(F.abs("is"), F.abs("was")))
+    """Points whose value differs from the last one that changed by more than a relative tolerance, so that a slow drift is seen too.
+
+    A series is folded in order; its points are buckets of a bounded window.
+    """
+    point = lambda p: F.struct(p["bucket"].alias("bucket"), F.lit(None).cast("double").alias("was"), p["value"].alias("is"))
+    far = lambda x, y: F.abs(x - y) > tolerance * F.greatest(F.abs(x), F.abs(y))
+
+    def step(seen: Column, p: Column) -> Column:
+        last = F.element_at(seen, -1)["is"]
+        changed = F.struct(p["bucket"].alias("bucket"), last.alias("was"), p["value"].alias("is"))
+        return F.when(far(p["value"], last), F.array_append(seen, changed)).otherwise(seen)
+
+    points = series.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("bucket", F.col("value").cast("double").alias("value")))).alias("p"))
+    folded = F.aggregate(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))), F.array(point(F.element_at("p", 1))), step)
+    return points.select(key, F.explode(folded).alias("c")).select(key, "c.*").filter("was is not null")
 
 
 def restart_increase(df: DataFrame, keys: list[str], most: int) -> DataFrame:

@@ -47,9 +47,10 @@ def evidence_active_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.active(records(spark, sf_dir)).select("id", "target_id", "metric")
 
 
-@PLANS.add(f"""{RECORDS}, h0 as (select id, id as heir from r), n as (select supersedes, min(id) as nxt from r where supersedes is not null group by 1),
-h1 as (select h0.id, coalesce(nxt, heir) as heir from h0 left join n on supersedes = heir), h2 as (select h1.id, coalesce(nxt, heir) as heir from h1 left join n on supersedes = heir),
-h3 as (select h2.id, coalesce(nxt, heir) as heir from h2 left join n on supersedes = heir) select h3.id, coalesce(nxt, heir) as heir from h3 left join n on supersedes = heir""")
+@PLANS.add(f"""{RECORDS.replace('with ', 'with recursive ', 1)}, n as (select supersedes, min(id) as nxt from r where supersedes is not null group by 1),
+back as (select r.id, r.id as heir from r left join n on n.supersedes = r.id where nxt is null
+  union all select n.supersedes, back.heir from back join n on n.nxt = back.id)
+select r.id, heir from r left join back on r.id = back.id""")
 def evidence_heirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.heirs(records(spark, sf_dir))
 
@@ -59,8 +60,8 @@ def evidence_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.rollups(records(spark, sf_dir))
 
 
-@PLANS.add(f"""{RECORDS}, asked as (select t.target_id, m.metric from range(50) t(target_id), (select distinct metric from r) m), own as (select target_id, metric, count(*) as n from r where id % 101 = 0 group by 1, 2),
-c as (select target_id, bool_and(id % 3 <> 0 or target_id % 2 = 0) as complete from r where id % 50 = 1 group by 1)
+@PLANS.add(f"""{RECORDS}, asked as (select t.target_id, m.metric from range(50) t(target_id), (select distinct metric from r) m), own as (select target_id, metric, count(*) as n from r group by 1, 2),
+c as (select target_id, bool_and(id % 3 <> 0 or target_id % 2 = 0) as complete from r group by 1)
 select a.target_id, a.metric, case when n = 1 then 'entity' when n > 1 then 'ambiguous' when complete then 'scope' when not complete then 'scope_incomplete' else 'unmeasured' end as resolution
 from asked a left join own on a.target_id = own.target_id and a.metric = own.metric left join c on a.target_id = c.target_id""")
 def scope_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:

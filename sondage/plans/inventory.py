@@ -12,10 +12,9 @@ from sondage.sources import telemetry as t
 PLANS = Plans()
 
 
-@PLANS.add(f"with {t.TARGETS} select id, name, type from targets where contains(lower(name), '#00000000') or contains(lower(id), 'n1') order by id limit 11 offset 5")
+@PLANS.add(f"with {t.TARGETS} select id, name, type from targets where lower(id) like '%n1%' or lower(name) like '%n1%' or lower(type) like '%n1%' order by id limit 6 offset 3")
 def target_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = t.targets(spark, sf_dir).withColumn("key", F.when(F.col("id").contains("n1") | F.lower("name").contains("#00000000"), "hit").otherwise(""))
-    return op.search(q, "HIT", ["key"], 10, 5).select("id", "name", "type")
+    return op.search(t.targets(spark, sf_dir), "N1", ["id", "name", "type"], 5, 3).select("id", "name", "type")
 
 
 @PLANS.add(f"""with recursive {t.TARGETS}, chain as (select id, 1 as depth, parent_id as ancestor from targets where parent_id is not null
@@ -37,7 +36,7 @@ select d.id, coalesce(compared, 0) as compared, coalesce(n_dev, 0) as n_deviatin
   when n_dev > 0 then 'shared' else 'alone' end as verdict from d left join n on d.id = n.id""")
 def peers_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = t.read_table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), t.text("s_suppkey")).alias("id"), (F.col("s_acctbal") < 0).alias("deviating"))
-    return op.peer_verdict(s, op.peers(t.targets(spark, sf_dir)))
+    return op.peer_verdict(s, t.targets(spark, sf_dir))
 
 
 @PLANS.add("""with m as (select user_id, ts as seen_at, event_type from events where event_type in ('signup', 'click')),
@@ -80,9 +79,9 @@ def data_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @PLANS.add("""select event_id, user_id, event_type, sha256(event_id::varchar || '|' || event_type) as ref from events
-where contains(lower(event_type), 'err') and value <= 20""")
+where contains(lower(event_type), 'err')""")
 def host_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = t.read_table(spark, sf_dir, "events").filter(F.contains(F.lower("event_type"), F.lit("err")) & (F.col("value") <= 20))
+    e = t.read_table(spark, sf_dir, "events").filter(F.contains(F.lower("event_type"), F.lit("err")))
     return e.select("event_id", "user_id", "event_type", F.sha2(F.concat_ws("|", t.text("event_id"), "event_type").cast("binary"), 256).alias("ref"))
 
 
@@ -93,7 +92,7 @@ def cluster_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", (F.col("user_id") % 5).alias("cluster_id"), F.col("ts").alias("assigned_at"))
 
 
-@PLANS.add("""with recursive e as (select distinct l_suppkey as s, l_partkey as p from lineitem where l_quantity >= 50),
+@PLANS.add("""with recursive e as (select distinct l_suppkey as s, l_partkey as p from lineitem),
 ways as (select 's' || s::varchar as a, 'p' || p::varchar as b from e union select 'p' || p::varchar, 's' || s::varchar from e),
 walk as (select 's1' as node, 0 as hop union select b, hop + 1 from walk join ways on a = node where hop < 3)
 select node, min(hop)::bigint as hop from walk group by 1""")

@@ -86,7 +86,7 @@ def timeseries_group_topn_other(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(op.top_groups(rows.groupBy("dim", "bucket").agg(F.sum("value").alias("value")), "dim", 3), 4)
 
 
-@PLANS.add(f"{BOTH}, i as (select name, bucket, greatest(value - lag(value) over (partition by name order by bucket), 0) as value from m) select name, bucket, round(value, 6) as value from i where value is not null")
+@PLANS.add(f"{BOTH}, i as (select name, bucket, value - lag(value) over (partition by name order by bucket) as step from m) select name, bucket, round(case when step < 0 then 0 else step end, 6) as value from i where step is not null")
 def counter_increase(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, b = windows(spark, sf_dir)
     return rounded(op.increases(c.unionByName(b)))
@@ -126,8 +126,11 @@ def capacity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(op.capacity(m.filter("name = 'view'"), m.filter("name = 'click'"), "target_id"), 4)
 
 
-@PLANS.add(f"""{BOTH}, w as (select name, bucket, lag(round(value)) over (partition by name order by bucket) as was, round(value) as "is" from m)
-select * from w where abs("is" - was) > 1e-9 * greatest(abs("is"), abs(was))""")
+@PLANS.add(f"""{BOTH.replace('with ', 'with recursive ', 1)}, w as (select name, bucket, round(value) as v, row_number() over (partition by name order by bucket) as i from m),
+walk as (select name, bucket, i, v as kept, null::double as was from w where i = 1
+  union all select w.name, w.bucket, w.i, case when abs(v - kept) > 1e-9 * greatest(abs(v), abs(kept)) then v else kept end,
+    case when abs(v - kept) > 1e-9 * greatest(abs(v), abs(kept)) then kept end from walk join w on walk.name = w.name and w.i = walk.i + 1)
+select name, bucket, was, kept as "is" from walk where was is not null""")
 def limit_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, b = windows(spark, sf_dir)
     return op.change_points(c.unionByName(b).withColumn("value", F.round("value")))

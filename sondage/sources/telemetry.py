@@ -130,4 +130,4 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LOGS = """logs as (select conv_id as stream, turn as seq, (case role when 'user' then 9 when 'assistant' then 13 else 17 end)::bigint as severity,
-  'conn ' || conv_id::varchar || ' id ' || substring(md5(turn::varchar), 1, 10) || ' ' || substring(text, 1, 20) as body from conversations)"""
+  'conn ' || conv_id::varchar || ' id ' || substring(md5(turn::varchar), 1, 10) || ' ' || text as body from conversations)"""
