@@ -7,9 +7,10 @@ scores of *all* rows: the smallest ratio of unlabelled to positive mass above a
 The fit itself takes bounded samples (``MAX_POSITIVE`` trusted rows, ``MAX_UNLABELLED`` texts, lowest hashes first); every
 row counts for the prior and is scored. Nothing but measurements of the text enters a score.
 
-Defined cases: null and empty texts are measured as texts without words and get a score like others; a table without labels
-or without rows gets the neutral model, score 0.5; repeated rows get equal scores; other columns are ignored (the query) or
-pass through (``score_texts``).
+Defined cases: null and empty texts are measured as texts without words and get a score like others; a very long text is measured
+whole; a table without labels or without rows gets the neutral model, score 0.5; repeated rows get equal scores; of rows with equal
+hashes any may be sampled, which are equal in id and features; rows without doc_id may be sampled but are never trusted; other
+columns are ignored (the query) or pass through (``score_texts``, where ``into`` replaces a column of that name).
 """
 
 from __future__ import annotations
@@ -117,11 +118,9 @@ def class_prior(counts: pd.DataFrame) -> float:
 def fit(rows: DataFrame, positives: DataFrame, usable: Column) -> Model:
     """``rows``: doc_id and features of all texts; ``positives``: doc_id of trusted ones; ``usable``: rows that may be learned from."""
     known = positives.select("doc_id").distinct().withColumn("trusted", F.lit(True))
-    open_ = rows.filter(usable)
-    by_hash = F.xxhash64("doc_id")
-    u = _matrix(open_.orderBy(by_hash, "doc_id").limit(MAX_UNLABELLED))
-    marked = open_.join(known, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    p = _matrix(marked.filter("trusted").orderBy(by_hash, "doc_id").limit(MAX_POSITIVE))
+    marked = rows.filter(usable).join(known, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    n = marked.agg(F.count(F.lit(1)).alias("u"), F.count_if("trusted").alias("p")).first()
+    u, p = _sample(marked, n["u"], MAX_UNLABELLED), _sample(marked.filter("trusted"), n["p"], MAX_POSITIVE)
     if not len(p) or not len(u):
         return NEUTRAL
     first = nnpu_fit(p, u, 0.5)
@@ -130,8 +129,16 @@ def fit(rows: DataFrame, positives: DataFrame, usable: Column) -> Model:
     return nnpu_fit(p, u, class_prior(counts))
 
 
-def _matrix(rows: DataFrame) -> np.ndarray:
-    got = rows.select("features").toPandas()["features"]
+def _sample(rows: DataFrame, n: int, most: int) -> np.ndarray:
+    """Features of at most ``most`` of ``n`` rows, lowest hashes first.
+
+    A threshold on the hash leaves hardly more than ``most`` rows before they are sorted, so what the tasks send doesn't grow
+    with their number; with the margin of 1.2, fewer than ``most`` stay only by a chance of less than 1e-9 (then all that stay are taken).
+    """
+    low = F.xxhash64("doc_id", "features")
+    if n > most:
+        rows = rows.filter(low < int(2**64 * min(1.2 * most / n, 1.0)) - 2**63)
+    got = rows.orderBy(low).limit(most).select("features").toPandas()["features"]
     return np.stack(got.to_list()) if len(got) else np.zeros((0, len(FEATURES)))
 
 
