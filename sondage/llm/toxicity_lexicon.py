@@ -9,14 +9,17 @@ The lexicon is a short base list plus words and word beginnings learned from lab
 distinct texts (a text has a beginning if it has it twice and in ``DENSE`` of its words), then a greedy cover of the toxic ones, so that words which merely come along with copies are not taken. The
 fit takes a bounded sample of labelled rows (``MAX_LABELLED``, lowest hashes first); every row is scored.
 
-Defined cases: null and empty texts have no hits and get the score of a text without hits; without labels the base list and
-its default calibration hold; repeated rows get equal scores; other columns are ignored; an empty table gives an empty result.
+Defined cases: null and empty texts have no hits and get the score of a text without hits; a very long text is matched whole, in
+one pass; without labels the base list and its default calibration hold; repeated rows get equal scores; of entries at one place the
+heaviest counts, of equally useful terms the more specific one is learned; other columns are ignored, and ``into`` replaces a column
+of that name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -50,15 +53,19 @@ EXCEPTIONS = (
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = str.maketrans("авеіјкмнорсѕтухһԁɡαβεικνορτυχ", "abeijkmhopcstyxhdgabeikvoptux")
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
-SIGN = re.compile(r"[013457](?=[a-z])|(?<=[a-z])[013457](?![0-9])|[@$](?=[@$]*[a-z])")
+#: A run of such digits stands for letters if a letter touches it on both sides, or it is a single digit beside one.
+SIGN = re.compile(r"(?<=[a-z])[013457]+(?=[a-z])|(?<![0-9a-z])[013457](?=[a-z])|(?<=[a-z])[013457](?![0-9a-z])|[@$](?=[@$]*[a-z])")
+#: Characters of no width.
+NO_WIDTH = dict.fromkeys([0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 WORD = re.compile(r"[^\W\d_]+")
 
 
 def fold_text(text: str | None) -> str:
+    """Lower case; full-width letters, accents, characters of no width and homoglyphs to plain letters; digits and signs in words to letters."""
     t = (text or "").lower()
     if not t.isascii():
-        t = t.translate(HOMOGLYPHS)
-    return SIGN.sub(lambda m: SIGNS[m[0]], t)
+        t = "".join(c for c in unicodedata.normalize("NFKD", t.translate(NO_WIDTH)) if not unicodedata.combining(c)).translate(HOMOGLYPHS)
+    return SIGN.sub(lambda m: "".join(SIGNS[c] for c in m[0]), t)
 
 
 @dataclass(frozen=True)
@@ -70,6 +77,13 @@ class Lexicon:
     per_length: float = 0.5
     per_beginning: float = 0.5
 
+    @functools.cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        return _automaton(tuple(sorted(self.words.items())), tuple(sorted(self.beginnings.items())))
+
+    def __getstate__(self) -> dict:  # each Python worker builds its own automaton
+        return {k: v for k, v in self.__dict__.items() if k != "automaton"}
+
     def calibrated(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.bias + x @ np.array([self.slope, self.per_length, self.per_beginning]), -30, 30)))
 
@@ -93,7 +107,7 @@ def _automaton(words: tuple, beginnings: tuple) -> ahocorasick.Automaton:
 def hits(text: str | None, lexicon: Lexicon) -> list[tuple[int, int, float, str]]:
     """(start, end, weight, kind) in the folded text; at one start the heaviest entry counts."""
     t = fold_text(text)
-    automaton = _automaton(tuple(sorted(lexicon.words.items())), tuple(sorted(lexicon.beginnings.items())))
+    automaton = lexicon.automaton
     found: dict[int, tuple[int, int, float, str]] = {}
     spared: list[tuple[int, int]] = []
     for last, entries in automaton.iter(t):
@@ -214,16 +228,6 @@ def score_texts(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", into:
     return text_batches(docs).withColumn(into, score.asNondeterministic()(F.col(text_col)))
 
 
-def find_hits(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", into: str = "hits") -> DataFrame:
-    """``docs`` with the hits themselves: start and end in the folded text, weight."""
-
-    @F.udf("array<struct<start:int,end:int,weight:double>>")
-    def found(text: str | None) -> list:
-        return sorted(h[:3] for h in hits(text, lexicon))
-
-    return docs.withColumn(into, found(F.col(text_col)))
-
-
 def fold(doc_id: str = "doc_id", n: int = 3) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % n, F.lit(0))
 
