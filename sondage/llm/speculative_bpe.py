@@ -16,6 +16,7 @@ pass through untouched.
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import re
 import sys
@@ -32,6 +33,8 @@ CACHE_WORDS = 200_000
 CHARS_AT_ONCE = 1_000_000
 END = "</w>"
 NO_MERGE = 1 << 62
+#: Words of more characters are merged by a heap; shorter ones faster by scanning.
+LONG_WORD = 64
 #: Unicode's White_Space, for which Python's \\s has four characters too many.
 WHITE_SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
@@ -67,6 +70,9 @@ class WordBpe:
         # pair -> rank and new token in one number each, so that the smallest one is the first merge
         self.merges = {self.ids[a] * self.size + self.ids[b]: rank * self.size + self.ids[a + b] for rank, (a, b) in enumerate(pairs)}
         self.longest = max(map(len, self.ids))
+        self.reach: dict[str, int] = {}  # longest token with the same first two characters
+        for t in self.ids:
+            self.reach[t[:2]] = max(self.reach.get(t[:2], 1), len(t))
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         letters = r"|[\p{L}]+"  # no other alternative starts with a letter, so the commonest may come first
         pattern = letters[1:] + "|" + pattern.replace(letters, "", 1)
@@ -93,13 +99,14 @@ class WordBpe:
     # ---- speculate
 
     def propose(self, chars: str) -> list[int]:
+        """Greedy longest match; no look-up is longer than the longest token."""
         out, at, n = [], 0, len(chars)
         while at < n:
-            rest = self.ids.get(chars[at:] + END)
+            rest = self.ids.get(chars[at:] + END) if n - at <= self.longest else None
             if rest is not None:
                 out.append(rest)
                 break
-            for to in range(min(n - 1, at + self.longest), at, -1):
+            for to in range(min(n - 1, at + self.reach.get(chars[at : at + 2], 1)), at, -1):
                 found = self.ids.get(chars[at:to])
                 if found is not None:
                     out.append(found)
@@ -113,6 +120,8 @@ class WordBpe:
 
     def merge(self, chars: str, ended: bool = True) -> list[int]:
         parts = [self.ids[c] for c in chars[:-1]] + [self.ids[chars[-1] + END * ended]]
+        if len(parts) > LONG_WORD:
+            return self._merge_long(parts)
         get, none = self.merges.get, NO_MERGE
         ranks = [get(a * self.size + b, none) for a, b in zip(parts, parts[1:], strict=False)]
         while ranks and (best := min(ranks)) != none:
@@ -125,6 +134,26 @@ class WordBpe:
                 ranks[at] = get(parts[at] * self.size + parts[at + 1], none)
         return parts
 
+    def _merge_long(self, parts: list[int]) -> list[int]:
+        """The same merges in the same order (least rank, then leftmost) from a heap over linked neighbours: n log n."""
+        n, size, get = len(parts), self.size, self.merges.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(m, i) for i in range(n - 1) if (m := get(parts[i] * size + parts[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            m, i = heapq.heappop(heap)
+            j = after[i] if parts[i] >= 0 else n
+            if j >= n or get(parts[i] * size + parts[j]) != m:  # one of the two has been merged since
+                continue
+            parts[i], parts[j] = m % size, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for x, y in ((before[i], i), (i, k)):
+                if x >= 0 and y < n and (m := get(parts[x] * size + parts[y])) is not None:
+                    heapq.heappush(heap, (m, x))
+        return [t for t in parts if t >= 0]
+
     # ---- verify
 
     def _judge(self, code: int) -> bool:
