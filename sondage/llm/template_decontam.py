@@ -4,15 +4,17 @@ Texts and benchmark items become sequences of words in which numbers, units and
 ``WINDOW`` template words are hashed and joined. Matches on one diagonal (same shift between document and item) belong to one
 occurrence; its slots must be filled consistently: one value of the item may stand for one value of the document only. So a
 question with other numbers or names is found, and a text that merely has the same shape is not. Windows with too few words beside
-their placeholders say nothing as templates; they are joined by a hash of the lower-cased words themselves.
+their placeholders say nothing as templates; they are joined by a hash of the lower-cased words themselves. An item of fewer than
+``WINDOW`` words is one window of its own length; one of fewer than ``LITERALS`` words only matches a document of just these words.
 
 The benchmark is broadcast if a count shows that it has at most ``MAX_BROADCAST`` windows, else joined by shuffle. Documents
 are not shuffled for the search, only their matches, which are stored; the words of documents with a match are then read again
 for their slots. Nothing is ever joined within the documents.
 
-Defined cases: null texts are empty and match nothing; items or documents of fewer than ``WINDOW`` words match nothing; items
-with equal templates and slots count once, under the smallest id; repeated rows (same doc_id and text) give one result; a null doc_id is
-an id like others; other columns are ignored (the query) or kept (``remove_contaminated``); empty tables give empty results.
+Defined cases: null texts and texts without words are empty and match nothing, as items and as documents; a very long text is
+searched whole; items with equal templates and slots count once, under the smallest id; repeated rows (same doc_id and text) give one
+result; different texts under one doc_id are searched each by itself; a null doc_id is an id like others; other columns, whatever their
+names, are ignored (the query) or kept (``remove_contaminated``); empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ def cleaned(text: Column) -> Column:
     """Words with their closing marks between single blanks; other punctuation at the edges of words is gone, numbers stand alone."""
     t = F.coalesce(text, F.lit(""))
     t = F.when(t.rlike("[0-9]"), F.regexp_replace(t, r"([0-9])(?=\p{L})|(?<=\p{L})(?=[0-9])", "$1 ")).otherwise(t)
-    return F.trim(F.regexp_replace(t, r"(?:[^\p{L}\p{N}.!?/']+|(?<![\p{L}\p{N}])['./]+)+", " "))
+    return F.trim(F.regexp_replace(t, r"(?:[^\p{L}\p{N}.!?/']+|(?<![\p{L}\p{N}])['./!?]+)+", " "))
 
 
 def template_of(clean: Column) -> Column:
@@ -85,8 +87,21 @@ def _windows(rows: DataFrame, *keep: str, literal: bool = True) -> DataFrame:
     )
 
 
-def _slots(at: str) -> Column:
-    return F.slice("slot", F.col(at), F.lit(WINDOW))
+def _short_windows(rows: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
+    """As ``_windows``, of each of the given ``size``s, all smaller than ``WINDOW``."""
+
+    def windows(k: int, words: str, weak: bool) -> Column:
+        one = lambda i: F.struct(
+            i.alias("at"), F.lit(weak).alias("weak"), F.lit(k).alias("size"), F.xxhash64(F.lit(k), F.lit(weak), F.slice(words, i, F.lit(k))).alias("hash")
+        )
+        return F.when(F.col("n") >= k, F.transform(F.sequence(F.lit(1), F.col("n") - k + 1), one))
+
+    own = [windows(k, w, weak) for k in sizes for w, weak in (("template", False), ("words", True))]
+    return rows.select(*keep, "n", F.explode(F.flatten(F.array_compact(F.array(*own)))).alias("w")).select(*keep, "n", "w.*")
+
+
+def _slots(at: str, size: str) -> Column:
+    return F.slice("slot", F.col(at), F.col(size))
 
 
 def _placeholders(slots: Column) -> Column:
@@ -94,30 +109,39 @@ def _placeholders(slots: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """hash, weak, item_id, item_at, n_item (windows of the item), n_strong (those that match as templates), item_slots.
+    """hash, weak, size, item_id, item_at, n_item (windows of the item), n_strong (those that match as templates), item_slots.
 
     A window has one hash: of its template, or, where that is too ``weak``, of its words.
     """
-    items = _prepared(benchmark.select("item_id", "text"), "text").filter(F.col("n") >= WINDOW)
+    items = _prepared(benchmark.select("item_id", "text"), "text").filter(F.array_join("template", "") != "")
     items = items.groupBy("template", "slot", "n").agg(F.min_by("words", "item_id").alias("words"), F.min("item_id").alias("item_id"))
-    few = lambda slots: WINDOW - _placeholders(slots) >= LITERALS
-    n_item = F.col("n") - WINDOW + 1
-    strong = F.filter(F.sequence(F.lit(1), n_item), lambda i: few(F.slice("slot", i, F.lit(WINDOW))))
-    items = items.withColumn("n_item", n_item).withColumn("n_strong", F.size(strong))
-    at = _windows(items, "item_id", "n_item", "n_strong", "slot")
-    at = at.select("hash", "weak", "item_id", F.col("at").alias("item_at"), "n_item", "n_strong", _slots("at").alias("item_slots"))
-    return at.filter(F.col("weak") != few(F.col("item_slots")))
+    size = F.least("n", F.lit(WINDOW))
+    few = lambda slots, size: size - _placeholders(slots) >= LITERALS
+    n_item = F.col("n") - size + 1
+    strong = F.filter(F.sequence(F.lit(1), n_item), lambda i: few(F.slice("slot", i, size), size))
+    items = items.withColumns({"n_item": n_item, "n_strong": F.size(strong), "size": size})
+    keep = ["item_id", "n_item", "n_strong", "slot"]
+    long = _windows(items.filter(F.col("n") >= WINDOW), *keep).withColumn("size", F.lit(WINDOW))
+    short = _short_windows(items.filter(F.col("n") < WINDOW), list(range(1, WINDOW)), *keep).filter(F.col("size") == F.col("n")).drop("n")
+    at = long.unionByName(short)
+    at = at.select("hash", "weak", "size", "item_id", F.col("at").alias("item_at"), "n_item", "n_strong", _slots("at", "size").alias("item_slots"))
+    return at.filter(F.col("weak") != few(F.col("item_slots"), F.col("size")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item that it holds: doc_id, text_hash, item_id, n_windows, coverage, changed_slots."""
     bench = benchmark_windows(benchmark)
-    size = bench.agg(F.count(F.lit(1)).alias("all"), F.count_if("weak").alias("weak")).first()
+    size = bench.agg(F.count(F.lit(1)).alias("all"), F.count_if("weak").alias("weak"), F.collect_set("size").alias("sizes")).first()
     if size["all"] <= MAX_BROADCAST:
         bench = F.broadcast(bench)
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    found = _windows(_prepared(rows, "text"), "doc_id", "text_hash", literal=size["weak"] > 0)
-    hits = durable(found.join(bench, ["hash", "weak"]).drop("hash").distinct(), "windows")
+    found = _windows(_prepared(rows, "text"), "doc_id", "text_hash", literal=size["weak"] > 0).withColumn("size", F.lit(WINDOW))
+    found = found.join(bench, ["hash", "weak", "size"])
+    if short := sorted(k for k in size["sizes"] if k < WINDOW):
+        whole = (F.col("size") >= LITERALS) | (F.col("size") == F.col("n"))
+        few = _short_windows(_prepared(rows, "text"), short, "doc_id", "text_hash")
+        found = found.unionByName(few.join(bench, ["hash", "weak", "size"]).filter(whole).drop("n"))
+    hits = durable(found.drop("hash").distinct(), "windows")
     # the words of the few documents with a hit, each once
     keys = hits.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     if keys.count() <= MAX_BROADCAST:
@@ -127,7 +151,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     own = own.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "slot")
     met = hits.join(own, same(own)).select(
         "doc_id", "text_hash", "item_id", "n_item", "n_strong", "weak", (F.col("at") - F.col("item_at")).alias("shift"), F.col("at").alias("i"),
-        F.arrays_zip(F.col("item_slots").alias("a"), F.when(F.col("weak"), F.col("item_slots")).otherwise(_slots("at")).alias("b")).alias("z"),
+        F.arrays_zip(F.col("item_slots").alias("a"), F.when(F.col("weak"), F.col("item_slots")).otherwise(_slots("at", "size")).alias("b")).alias("z"),
     )
     pairs = F.coalesce(F.filter(F.col("z"), lambda p: p["a"].isNotNull()), F.array().cast("array<struct<a:string,b:string>>"))
     runs = met.groupBy("doc_id", "text_hash", "item_id", "shift").agg(
