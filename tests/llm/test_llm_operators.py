@@ -59,11 +59,6 @@ def test_license_base_columns(spark):
     assert got[1].labels == "cc-by,cc-by-nc,gpl" and got[3].labels == "apache" and got[2].labels == ""
 
 
-def test_license_gates_cover_the_rules():
-    for r in license_rules.rules():
-        assert any(re.search(rf"(?:^|[ :(|]){g}", r["pattern"]) for g in license_rules.GATES), r
-
-
 def test_rules_by_brute_force(docs):
     got = {r.doc_id: r for r in rule_ledger.op6_rule_ledger(docs).collect()}
     for r in docs.collect():

@@ -37,6 +37,7 @@ def test_license_keywords_cover_every_spelling():
     for r in license_rules.rules():
         for text in _spellings(_parser.parse(r["pattern"])):
             assert set(text.split()) & set(r["keywords"].split()), (r, text)
+            assert any(f" {g}" in f" {text}" for g in license_rules.GATES), (r, text)
 
 
 def test_license_spellings_without_the_short_keyword(spark):
