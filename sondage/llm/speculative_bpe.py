@@ -8,9 +8,10 @@ no merge crosses don't see each other. All adjacent pairs of a batch are looked
 Encodings of words are remembered in each Python worker, up to ``CACHE_WORDS`` words; then the memory starts anew, which
 changes speed and nothing else. Rows never meet, so there is no shuffle, and a lost executor costs its own partitions.
 
-Defined cases: a null text is an empty one; an empty text has no tokens (empty packed ids, empty decoded text); strings of
-special tokens in a text become these tokens, as in the tokenizers library; repeated rows get equal results; other columns
-pass through untouched.
+Defined cases: a null text is an empty one; an empty text has no tokens (empty packed ids, empty decoded text); a very long text is
+encoded whole, and a very long word merged in n log n; of equal merges the leftmost comes first; strings of special tokens in a text
+become these tokens, as in the tokenizers library; repeated rows get equal results; other columns pass through untouched, except that
+``into``, ``ids`` and ``decoded`` replace columns of those names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondage.sources import text_batches
@@ -273,10 +274,17 @@ def round_trip(docs: DataFrame, file: str = "word_bpe_49k.json", text_col: str =
     return rows.withColumns({ids: F.col("__both.ids"), decoded: F.col("__both.decoded")}).drop("__both")
 
 
-def op9_speculative_bpe(docs: DataFrame) -> DataFrame:
-    return round_trip(docs.select("doc_id", "text")).select(
-        "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
+def _digests() -> list[Column]:
+    return [
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
-    )
+    ]
+
+
+def encode_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, the packed token ids to train on, their number, and what their round trip is checked by."""
+    return round_trip(docs.select("doc_id", "text")).select("doc_id", "ids", *_digests())
+
+
+def op9_speculative_bpe(docs: DataFrame) -> DataFrame:
+    return round_trip(docs.select("doc_id", "text")).select("doc_id", *_digests())

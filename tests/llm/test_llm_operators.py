@@ -40,13 +40,26 @@ def labels(spark):
 @pytest.mark.parametrize("rows", ["odd", "empty"])
 def test_odd_rows(spark, odd, labels, rows):
     d = odd if rows == "odd" else odd.limit(0)
-    n = len(ODD) if rows == "odd" else 0
+    want = ODD if rows == "odd" else []
+    ids = sorted(-1 if r[0] is None else r[0] for r in want)
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "too short")], "item_id long, text string")
-    for f, more in ((license_rules.op2_license_rules, ()), (minimax_shards.op5_minimax_shards, ()), (rule_ledger.op6_rule_ledger, ()), (speculative_bpe.op9_speculative_bpe, ()), (probminhash.op10_probminhash, ()), (pu_quality.op1_pu_quality, (labels,)), (toxicity_lexicon.op4_toxicity_lexicon, (labels,))):
-        assert f(d, *more).count() == n, f
-    assert template_decontam.op3_template_decontam(d, bench).count() == 0
-    assert backoff_lm.op7_backoff_lm(d).count() == d.select("doc_id").distinct().count()
-    assert pu_quality.op1_pu_quality(d, labels.limit(0)).count() == n
+    got = {}
+    for name, f, more in (("op1", pu_quality.op1_pu_quality, (labels,)), ("op2", license_rules.op2_license_rules, ()), ("op4", toxicity_lexicon.op4_toxicity_lexicon, (labels,)), ("op5", minimax_shards.op5_minimax_shards, ()), ("op6", rule_ledger.op6_rule_ledger, ()), ("op9", speculative_bpe.op9_speculative_bpe, ()), ("op10", probminhash.op10_probminhash, ())):
+        all_rows = f(d, *more).collect()  # collected, so that nothing is pruned
+        assert sorted(-1 if r.doc_id is None else r.doc_id for r in all_rows) == ids, name
+        got[name] = {r.doc_id: r for r in all_rows}
+    assert template_decontam.op3_template_decontam(d, bench).collect() == []
+    lm = {r.doc_id: r for r in backoff_lm.op7_backoff_lm(d).collect()}
+    assert set(lm) == {r[0] for r in want}
+    if not want:
+        return
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for op in ("op1", "op2", "op4") for r in got[op].values() if op != "op2")
+    assert got["op2"][1][1:6] == (0, 0, None, None, "") and got["op2"][1].score == 0 and got["op2"][8].base_labels == "mit"
+    assert got["op5"][1].size == 16 and got["op5"][4].size == 17 and got["op5"][5].text_crc32 == got["op5"][6].text_crc32 and got["op5"][5].shard == got["op5"][6].shard
+    assert [got["op6"][i].n_words for i in (1, 2, 3, 4, 5, 7)] == [0, 0, 0, 1, 150, 50_000] and got["op6"][7].n_repeat_words == 50_000 and not any(r.kept for r in got["op6"].values())
+    assert got["op9"][1].n_tokens == got["op9"][2].n_tokens == 0 and got["op9"][1].ids_sha256 == hashlib.sha256(b"").hexdigest() and got["op9"][5] [1:] == got["op9"][6][1:]
+    assert [got["op10"][i].class_id for i in (1, 2, 3, 4, 5, 6, 7, 8, None)] == [1, 1, 1, 4, 5, 5, 7, 8, None]
+    assert (lm[1].n_words, lm[1].mean_log_score) == (0, None) and lm[5].n_words == 300 and lm[7].n_words == 50_000
 
 
 def test_license_base_columns(spark):
@@ -188,6 +201,10 @@ def test_pipeline_stages_keep_columns(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     n = docs.count()
+    tokens = pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert all(r.n_tokens == len(r.ids) // 4 and r.ids_sha256 == hashlib.sha256(r.ids).hexdigest() for r in tokens) and len(tokens) == n
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).collect() == [], name
     for name, stage in pipeline.STAGES[:-1]:
         kept = stage(spark, docs, SF)
         assert kept.columns == docs.columns, name
