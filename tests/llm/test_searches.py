@@ -40,6 +40,13 @@ def test_classes_of_a_templated_family(spark):
     assert [got[i] for i, _ in rows] == _classes(rows)
 
 
+def test_classes_where_no_table_is_small_enough_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(probminhash, "MAX_BROADCAST", 0)
+    rows = _family(120, 5, 3, 110, 3)
+    got = {r.doc_id: r.class_id for r in probminhash.op10_probminhash(spark.createDataFrame(rows, KIND)).collect()}
+    assert [got[i] for i, _ in rows] == _classes(rows)
+
+
 def test_classes_of_variants_of_one_text(spark):
     rng = random.Random(2)
     base = [f"w{i}" for i in range(150)]
