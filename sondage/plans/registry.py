@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from sondage.plans import evidence, inventory, logs, series, traces
+from sondage.plans import blocking, evidence, inventory, logs, series, traces
 from sondage.plans.base import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (series, logs, traces, inventory, evidence):
+for module in (series, logs, traces, inventory, evidence, blocking):
     QUERIES |= module.PLANS.queries
     ORACLE_SQL |= module.PLANS.sql
