@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: So many bands of a pairing are sorted in one piece.
+STRETCH = 64
+
 
 def fold_episodes(rows: DataFrame, start: str, end: str) -> DataFrame:
     """Open and close of each episode in a window, and on which side it is cut."""
@@ -66,14 +69,20 @@ def fold_changes(rows: DataFrame) -> DataFrame:
 def pair_unique(left: DataFrame, right: DataFrame, seconds: int) -> DataFrame:
     """left(id, at, key) against right(id, at, key) within +-seconds: unmatched, unique_inferred or ambiguous.
 
-    Both sides meet by key and time bucket, each left row looking into its own and the two next buckets, so that the band
-    join is an equi-join.
+    Both sides are sorted together by key and stretch of time, a right row also lying in the next stretch if it reaches into it. Matches
+    are the right rows up to the end of a row's band less those before its start, and the last of them is the partner if it is the
+    only one; so no pairs are made, and a hot key is split by time.
     """
-    at = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
-    r = right.select(F.col("key"), at("at").alias("rt"), F.col("id").alias("rid")).withColumn("bucket", F.floor(F.col("rt") / seconds).cast("long"))
-    mine = F.floor(at("at") / seconds).cast("long")
-    near = left.select("id", "key", at("at").alias("lt"), F.explode(F.array(mine - 1, mine, mine + 1)).alias("bucket"))
-    met = near.join(r, ["key", "bucket"]).filter(F.abs(F.col("lt") - F.col("rt")) <= seconds)
-    n = met.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("rid"))
-    state = F.when(F.coalesce("n", F.lit(0)) == 0, "unmatched").when(F.col("n") == 1, "unique_inferred").otherwise("ambiguous")
-    return left.select("id").join(n, "id", "left").select("id", state.alias("pairing"), F.when(F.col("n") == 1, F.col("rid")).alias("partner"))
+    at = F.unix_seconds(F.col("at").cast("timestamp"))
+    stretch = lambda t: F.floor(t / (seconds * STRETCH)).cast("long")
+    mine = left.select("id", "key", at.alias("t"), F.lit(None).cast(right.schema["id"].dataType).alias("rid"), F.lit(True).alias("asks"), stretch(at).alias("stretch"))
+    theirs = right.select(
+        F.lit(None).cast(left.schema["id"].dataType).alias("id"), "key", at.alias("t"), F.col("id").alias("rid"), F.lit(False).alias("asks"),
+        F.explode(F.array_distinct(F.array(stretch(at - seconds), stretch(at + seconds)))).alias("stretch"),
+    )
+    by = W.partitionBy("key", "stretch").orderBy("t")
+    until = by.rangeBetween(W.unboundedPreceding, seconds)
+    n = F.count("rid").over(until) - F.count("rid").over(by.rangeBetween(W.unboundedPreceding, -seconds - 1))
+    met = mine.unionByName(theirs).withColumns({"n": n, "partner": F.last("rid", ignorenulls=True).over(until)}).filter("asks")
+    state = F.when(F.col("n") == 0, "unmatched").when(F.col("n") == 1, "unique_inferred").otherwise("ambiguous")
+    return met.select("id", F.when(F.col("key").isNull() | F.col("t").isNull(), "unmatched").otherwise(state).alias("pairing"), F.when((F.col("n") == 1) & F.col("key").isNotNull() & F.col("t").isNotNull(), F.col("partner")).alias("partner"))

@@ -122,6 +122,22 @@ def triage(members: DataFrame) -> DataFrame:
     return ranked(folded, [F.desc("anomalous"), F.desc("severity"), F.asc("first_at"), F.asc("target_id"), F.asc("metric")])
 
 
+def candidates(symptom: DataFrame, nodes: DataFrame, edges: DataFrame, kin: DataFrame) -> DataFrame:
+    """Where to look beyond the targets of a symptom(target_id): neighbours in one and two steps, then kin on the same host.
+
+    A symptom's target that is no node(target_id) is missing_from_topology; a neighbour that is none can't be probed. edges(src, dst) are
+    walked both ways.
+    """
+    own = symptom.select("target_id").distinct()
+    walk = expand(edges, own.withColumnRenamed("target_id", "node"), 2).filter("hop > 0")
+    near = walk.select(F.col("node").alias("target_id"), F.when(F.col("hop") == 1, "topology_1hop").otherwise("topology_2hop").alias("via"))
+    kin = kin.select("target_id").distinct().join(own, "target_id", "left_anti").join(near, "target_id", "left_anti").withColumn("via", F.lit("host_kin"))
+    known = nodes.select("target_id").distinct().withColumn("__known", F.lit(True))
+    absent = own.join(known, "target_id", "left_anti").select("target_id", F.lit(None).cast("string").alias("via"), F.lit("missing_from_topology").alias("state"))
+    probed = F.when(F.col("__known").isNull() & (F.col("via") != "host_kin"), "unprobeable").otherwise("candidate")
+    return near.unionByName(kin).join(known, "target_id", "left").select("target_id", "via", probed.alias("state")).unionByName(absent)
+
+
 def coverage_grid(wanted: DataFrame, domains: list[str], calls: DataFrame) -> DataFrame:
     """Every wanted target x domain, and whether a call has looked there."""
     cells = wanted.select("target_id", F.explode(F.array(*map(F.lit, domains))).alias("domain"))

@@ -186,3 +186,14 @@ def restart_increase(df: DataFrame, keys: list[str], most: int) -> DataFrame:
     """Largest less smallest value by series, where it rose; the ``most`` largest."""
     up = df.groupBy(*keys).agg((F.max("value") - F.min("value")).alias("increase")).filter("increase > 0")
     return up.orderBy(F.desc("increase"), *keys).limit(most)
+
+
+def pod_probes(samples: DataFrame, counters: list[str]) -> DataFrame:
+    """samples(namespace, pod, container, probe, value) to one row for each pod and probe, in which its containers add up.
+
+    Counters by how far they rose (largest less smallest), states by their largest value. A measured zero is a row and no finding; a pod
+    without samples is no row.
+    """
+    rise = F.when(F.col("probe").isin(counters), F.max("value") - F.min("value")).otherwise(F.max("value"))
+    each = samples.filter("value is not null").groupBy("namespace", "pod", "probe", "container").agg(rise.alias("v"))
+    return each.groupBy("namespace", "pod", "probe").agg(F.sum("v").alias("value"), F.count(F.lit(1)).alias("containers")).withColumn("finding", F.col("value") > 0)

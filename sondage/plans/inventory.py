@@ -124,3 +124,20 @@ def coverage_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = t.read_table(spark, sf_dir, "events").withColumn("target_id", F.col("user_id"))
     domain = F.when(F.col("event_type") == "view", "metrics").when(F.col("event_type") == "click", "logs").when(F.col("event_type") == "error", "events")
     return op.coverage_grid(e.select("target_id").distinct(), ["metrics", "logs", "events"], e.filter("value > 90").select("target_id", domain.alias("domain")))
+
+
+@PLANS.add("""with recursive sym as (select 's' || s_suppkey::varchar as id from supplier where s_acctbal < -900 union select 's0'), nodes as (select 'p' || p_partkey::varchar as id from part where p_partkey % 10 > 0 union all select 's' || s_suppkey::varchar from supplier),
+e as (select 's' || l_suppkey::varchar as a, 'p' || l_partkey::varchar as b from lineitem where l_returnflag = 'R'), ways as (select a, b from e union select b, a from e),
+h1 as (select distinct b as id from ways join sym on a = id where b not in (select id from sym)), h2 as (select distinct b as id from ways join h1 on a = id where b not in (select id from sym union select id from h1)),
+near as (select id, 'topology_1hop' as via from h1 union all select id, 'topology_2hop' from h2),
+kin as (select id, 'host_kin' as via from (select distinct 'c' || c_custkey::varchar as id from customer where c_nationkey = 3 union select 's2') where id not in (select id from near) and id not in (select id from sym))
+select id as target_id, via, case when via <> 'host_kin' and id not in (select id from nodes) then 'unprobeable' else 'candidate' end as state from (select * from near union all select * from kin)
+union all select id, null, 'missing_from_topology' from sym where id not in (select id from nodes)""")
+def triage_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = lambda n: t.read_table(spark, sf_dir, n)
+    i = lambda p, c: F.concat(F.lit(p), t.text(c)).alias("target_id")
+    one = lambda x: spark.createDataFrame([(x,)], "target_id string")
+    symptom = r("supplier").filter("s_acctbal < -900").select(i("s", "s_suppkey")).union(one("s0"))
+    nodes = r("part").filter("p_partkey % 10 > 0").select(i("p", "p_partkey")).union(r("supplier").select(i("s", "s_suppkey")))
+    edges = r("lineitem").filter("l_returnflag = 'R'").select(i("s", "l_suppkey").alias("src"), i("p", "l_partkey").alias("dst"))
+    return op.candidates(symptom, nodes, edges, r("customer").filter("c_nationkey = 3").select(i("c", "c_custkey")).union(one("s2")))

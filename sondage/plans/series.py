@@ -174,3 +174,16 @@ def silent_targets_setdiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @PLANS.add(f"with {t.METRICS} select name, dim, target_id, round(max(value) - min(value), 6) as increase from metrics group by all having max(value) > min(value) order by max(value) - min(value) desc, name, dim, target_id limit 10")
 def k8s_restart_increase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(op.restart_increase(t.metrics(spark, sf_dir), ["name", "dim", "target_id"], 10))
+
+
+@PLANS.add("""with s as (select 'n' || (l_suppkey % 4)::varchar as namespace, 'p' || (l_orderkey % 97)::varchar as pod, l_linenumber as container,
+  case l_partkey % 4 when 0 then 'restarts' when 1 then 'crash_loop' when 2 then 'oom_killed' else 'waiting' end as probe, case when l_quantity < 5 then null when l_quantity < 30 then 0 else l_quantity end as value from lineitem),
+c as (select namespace, pod, probe, container, case when probe = 'restarts' then max(value) - min(value) else max(value) end as v from s where value is not null group by namespace, pod, probe, container)
+select namespace, pod, probe, round(sum(v), 6) as value, count(*) as containers, sum(v) > 0 as finding from c group by namespace, pod, probe""")
+def cluster_pod_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = t.read_table(spark, sf_dir, "lineitem").selectExpr(
+        "concat('n', l_suppkey % 4) as namespace", "concat('p', l_orderkey % 97) as pod", "l_linenumber as container",
+        "case l_partkey % 4 when 0 then 'restarts' when 1 then 'crash_loop' when 2 then 'oom_killed' else 'waiting' end as probe",
+        "case when l_quantity < 5 then null when l_quantity < 30 then 0 else l_quantity end as value",
+    )
+    return rounded(op.pod_probes(i, ["restarts"]))
