@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sondage.functions import quantiles
+
 #: Thresholds of the endpoint and statement verdicts.
 SAMPLE, RATIO, SHIFT_MS, SLOW_MS = 30, 3.0, 300.0, 3000.0
 FAIL_COUNT, FAIL_RATE, FAIL_SHIFT, FAIL_POINTS = 5, 0.05, 2.0, 0.10
@@ -14,13 +16,13 @@ SLOWER, FASTER, CHRONIC, POLLS = 3.0, 1 / 3, 0.9, 3
 
 def breakdown(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Latency and errors by endpoint, exact percentiles."""
-    return spans.groupBy(*keys).agg(
+    rows = spans.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct("trace_id", "span_id")).alias("unique_n"),
-        F.count_if(F.col("parent_span_id").isNull()).alias("roots"), F.percentile("duration_ms", 0.5).alias("p50"),
-        F.percentile("duration_ms", 0.95).alias("p95"), F.max("duration_ms").alias("max_ms"), F.sum("duration_ms").alias("total_ms"),
+        F.count_if(F.col("parent_span_id").isNull()).alias("roots"), F.max("duration_ms").alias("max_ms"), F.sum("duration_ms").alias("total_ms"),
         F.count_if(F.col("status") == "ERROR").alias("failed"),
         F.max_by("trace_id", F.struct("duration_ms", "trace_id")).alias("slowest_trace"),
     )
+    return rows.join(quantiles(spans, keys, "duration_ms", {"p50": 0.5, "p95": 0.95}), keys, "left")
 
 
 def verdict_arms(current: DataFrame, baseline: DataFrame, keys: list[str]) -> DataFrame:
@@ -63,10 +65,12 @@ def paired_edges(spans: DataFrame) -> DataFrame:
     """Calls between services: child spans joined to their parents."""
     p = spans.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("service").alias("caller"), F.col("status").alias("caller_status"))
     met = spans.join(p, ["trace_id", "parent_span_id"]).filter("caller <> service")
-    return met.groupBy("caller", F.col("service").alias("callee")).agg(
-        F.count(F.lit(1)).alias("calls"), F.count_if(F.col("caller_status") == "ERROR").alias("caller_errors"),
-        F.count_if(F.col("status") == "ERROR").alias("callee_errors"), F.percentile("duration_ms", 0.5).alias("p50"),
-    ).withColumn("observation_mismatch", (F.col("caller_errors") > 0) & (F.col("callee_errors") == 0))
+    met = met.select("caller", F.col("service").alias("callee"), "caller_status", "status", "duration_ms")
+    edges = met.groupBy("caller", "callee").agg(
+        F.count(F.lit(1)).alias("calls"), F.count_if(F.col("caller_status") == "ERROR").alias("caller_errors"), F.count_if(F.col("status") == "ERROR").alias("callee_errors")
+    )
+    edges = edges.withColumn("observation_mismatch", (F.col("caller_errors") > 0) & (F.col("callee_errors") == 0))
+    return edges.join(quantiles(met, ["caller", "callee"], "duration_ms", {"p50": 0.5}), ["caller", "callee"], "left")
 
 
 def orphans(spans: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sondage.operators import series
 from sondage.operators import traces as op
 from sondage.plans.base import Plans, rounded
+from sondage.sources import durable
 from sondage.sources import telemetry as t
 
 PLANS = Plans()
@@ -22,13 +23,15 @@ SHOWN = "service, kind, route, n, unique_n, roots, round(p50, 6) as p50, round(p
 
 
 def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    s = t.spans(spark, sf_dir)
-    return op.breakdown(series.within(s, MIDDLE, END), KEYS), op.breakdown(series.within(s, BASE, MIDDLE), KEYS)
+    """The current window and the one before it, out of one pass over the spans."""
+    s = series.within(t.spans(spark, sf_dir), BASE, END).withColumn("is_current", F.col("ts") >= F.lit(MIDDLE).cast("timestamp_ntz"))
+    both = durable(op.breakdown(s, [*KEYS, "is_current"]), "endpoints")
+    return both.filter("is_current").drop("is_current"), both.filter("not is_current").drop("is_current")
 
 
 @PLANS.add(f"{WINDOWS} select {SHOWN} from c")
 def endpoint_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _two(spark, sf_dir)[0]
+    rows = op.breakdown(series.within(t.spans(spark, sf_dir), MIDDLE, END), KEYS)
     return rounded(rows.withColumn("total_ms", F.round("total_ms", 4)))
 
 
