@@ -16,6 +16,7 @@ from sondage.llm import (
     rule_ledger,
     speculative_bpe,
     template_decontam,
+    token_alignment,
     toxicity_lexicon,
 )
 from sondage.sources import read_table
@@ -38,6 +39,7 @@ QUERIES: dict[str, Query] = {
     "op8_preference_format": _over(preference_format.op8_preference_format, "conversations"),
     "op9_speculative_bpe": _over(speculative_bpe.op9_speculative_bpe, "documents"),
     "op10_probminhash": _over(probminhash.op10_probminhash, "documents"),
+    "op11_token_alignment": _over(token_alignment.op11_token_alignment, "documents"),
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_backoff_lm": backoff_lm.ORACLE, "op8_preference_format": preference_format.ORACLE}
