@@ -10,6 +10,7 @@ from sondage.llm import (
     backoff_lm,
     license_rules,
     minimax_shards,
+    phrase_mining,
     preference_format,
     probminhash,
     pu_quality,
@@ -40,6 +41,7 @@ QUERIES: dict[str, Query] = {
     "op9_speculative_bpe": _over(speculative_bpe.op9_speculative_bpe, "documents"),
     "op10_probminhash": _over(probminhash.op10_probminhash, "documents"),
     "op11_token_alignment": _over(token_alignment.op11_token_alignment, "documents"),
+    "op12_phrase_mining": _over(phrase_mining.op12_phrase_mining, "documents"),
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_backoff_lm": backoff_lm.ORACLE, "op8_preference_format": preference_format.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op7_backoff_lm": backoff_lm.ORACLE, "op8_preference_format": preference_format.ORACLE, "op12_phrase_mining": phrase_mining.ORACLE}

@@ -233,7 +233,7 @@ def _count_pairs(block: pa.Table, asked: pa.Table) -> pa.Table:
     held = np.unique(text[stay] * size + codes[stay])  # each document's pieces once
     first = np.flatnonzero(np.diff(held // size, prepend=-1))  # where a document begins
     edges = first[np.unique(np.searchsorted(first, np.arange(0, len(held), PIECES_AT_ONCE)).clip(max=len(first) - 1))] if len(first) else first
-    for at, to in zip(edges, [*edges[1:], len(held)], strict=True):
+    for at, to in zip(edges, np.append(edges, len(held))[1:], strict=True):
         doc, code = held[at:to] // size, held[at:to] % size
         often = n[code]
         place = np.arange(often.sum()) - np.repeat(np.cumsum(often) - often, often) + np.repeat(start[code], often)
