@@ -48,13 +48,15 @@ BLOCKS_PER_FILE = 4
 PIECES_AT_ONCE = 500_000
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 CUT = re.compile(f"(?<=\\S)(?=[ \\n])|(?<=[{LATIN}])(?=[.,;:!?])")
-#: Where this is not found, pieces can be told word by word.
-RUN_OF_BLANKS = re.compile(r"\s |\s\Z|\A\s")
 #: Two ids in one number.
 LOW = 1 << 32
 KEEP_PARTITIONING = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
+class RunOfBlanks(Exception):
+    """A blank stands after white space, so pieces can't be told word by word."""
+
+
 class Pieces(dict):
     """Codes of pieces in the order of their first places; each word is cut once."""
 
@@ -66,15 +68,22 @@ class Pieces(dict):
         return [self.code.setdefault(p, len(self.code)) for p in pieces]
 
     def __missing__(self, word: str) -> list[int]:
-        self[word] = found = self._codes(CUT.split(" " + word))
+        if not word or word[-1].isspace():
+            raise RunOfBlanks
+        if word.isalpha():
+            pieces = [" " + word]
+        elif word[-1] in ".,;:!?" and word[:-1].isalpha() and word.isascii():
+            pieces = [" " + word[:-1], word[-1]]
+        else:
+            pieces = CUT.split(" " + word)
+        self[word] = found = self._codes(pieces)
         return found
 
     def of(self, text: str) -> list[int]:
-        if not text:
-            return []
-        if RUN_OF_BLANKS.search(text):
+        try:
+            return list(chain.from_iterable(map(self.__getitem__, text.split(" ")))) if text else []
+        except RunOfBlanks:
             return self._codes(CUT.split(" " + text))
-        return list(chain.from_iterable(map(self.__getitem__, text.split(" "))))
 
 
 class Pair:
@@ -119,7 +128,7 @@ def _pair(a_file: str, b_file: str) -> Pair:
 
 
 def blocks(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row for each block of texts: block, doc_ids and n (pieces of each text), pieces, codes (packed unsigned 32-bit)."""
+    """One row for each block of texts: block, doc_ids and n (pieces of each text), pieces, codes (unsigned 32-bit, packed by zstd)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -129,6 +138,7 @@ def blocks(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         def block() -> pa.RecordBatch:
             flat = np.concatenate([np.empty(0, dtype="<u4"), *codes]).tobytes()
+            flat = pa.compress(flat, "zstd", asbytes=True)
             row = [[number], [ids], [n], [list(pieces.code)], [flat]]
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["block", "doc_ids", "n", "pieces", "codes"])
@@ -205,7 +215,7 @@ def aligned(pieces: DataFrame) -> DataFrame:
 def _each_document(block: pa.Table, known: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """doc_ids, codes, the text number of each code, and which texts have tokens; ``known`` says which pieces have."""
     n = np.array(block["n"][0].as_py(), dtype=np.int64)
-    codes = np.frombuffer(block["codes"][0].as_py(), dtype="<u4")
+    codes = np.frombuffer(pa.decompress(block["codes"][0].as_py(), 4 * int(n.sum()), "zstd"), dtype="<u4")
     text = np.repeat(np.arange(len(n)), n)
     lost = np.bincount(text[~known[codes]], minlength=len(n)) > 0
     return block["doc_ids"].combine_chunks().flatten(), codes, text, (n > 0) & ~lost
@@ -296,7 +306,8 @@ def align(docs: DataFrame, a_file: str = "byte_bpe_50k.json", b_file: str = "pie
     scored = links.groupBy("pid").agg(
         F.count(F.lit(1)).alias("n_links"), F.count_if("best").alias("n_best"), F.sum("n_docs").alias("count_sum")
     )
-    facts = whole.drop("links").join(scored, "pid")
+    facts = durable(whole.drop("links").join(scored, "pid"), "facts")
+    discard(whole)
     got = _met(texts, asked.join(facts, "pid").drop("pid"), _sum_documents, "doc_id long, " + ", ".join(f"{f} long" for f in FACTS) + ", groups string")
     return got, ids.select(F.shiftright("pair", 32).cast("int").alias("a"), F.col("pair").bitwiseAND(LOW - 1).cast("int").alias("b"), "n_docs", "best")
 
