@@ -57,18 +57,20 @@ def shared_dir(spark: SparkSession) -> str:
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def durable(df: DataFrame, name: str = "stage", rows_per_file: int = 0) -> DataFrame:
+def durable(df: DataFrame, name: str = "stage", rows_per_file: int = 0, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation, and two readers see the same
-    rows in the same files. The files go when the driver ends, those of the shuffles at once.
+    rows in the same files. The files go when the driver ends, those of the shuffles at once. ``codec`` compresses the pages; without
+    one the session's holds.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     was = spark.conf.get(DROP_SHUFFLES, None)
     spark.conf.set(DROP_SHUFFLES, "true")
     try:
-        df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
+        writer = df.write.option("maxRecordsPerFile", rows_per_file)
+        (writer.option("compression", codec) if codec else writer).parquet(path)
     finally:
         spark.conf.unset(DROP_SHUFFLES) if was is None else spark.conf.set(DROP_SHUFFLES, was)
     atexit.register(_remove, spark, path)
