@@ -48,8 +48,8 @@ BLOCKS_PER_FILE = 4
 PIECES_AT_ONCE = 500_000
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 CUT = re.compile(f"(?<=\\S)(?=[ \\n])|(?<=[{LATIN}])(?=[.,;:!?])")
-#: Two ids in one number.
-LOW = 1 << 32
+#: A linked pair is one 32-bit number, so either vocabulary may have so many ids.
+IDS = 1 << 16
 KEEP_PARTITIONING = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
@@ -105,6 +105,8 @@ class Pair:
         self.b_bytes = [
             bytes([int(t[3:5], 16)]) if self.b.is_byte(i) else t.replace("▁", " ").encode("utf-8", "surrogatepass") for i, t in enumerate(spelled)
         ]
+        if max(len(self.a_bytes), len(self.b_bytes)) > IDS:
+            raise ValueError(f"a vocabulary has more than {IDS} ids")
         for i, t in enumerate(spelled):
             if not self.b.is_byte(i) and ("\n" in t or CUT.search(t.replace("▁", " "))):
                 raise ValueError(f"pieces can't be cut for this model: token {t!r} reaches over a cut")
@@ -159,7 +161,7 @@ def blocks(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_col)
     kind = "block long, doc_ids array<long>, n array<int>, pieces array<string>, codes binary"
-    return durable(rows.mapInArrow(cut, kind), "blocks", BLOCKS_PER_FILE)
+    return durable(rows.mapInArrow(cut, kind), "blocks", BLOCKS_PER_FILE, "zstd")
 
 
 def encoded(pieces: DataFrame, a_file: str, b_file: str) -> DataFrame:
@@ -201,8 +203,8 @@ def groups(pieces: DataFrame) -> DataFrame:
 
 
 def aligned(pieces: DataFrame) -> DataFrame:
-    """pid, n_a, n_b, n_groups, groups (their ids as text) and links (a * 2^32 + b for every linked pair of occurrences) of each piece."""
-    pairs = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: x.cast("long") * LOW + y)))
+    """pid, n_a, n_b, n_groups, groups (their ids as text) and links (a * 2^16 + b for every linked pair of occurrences, as 32 bits) of each piece."""
+    pairs = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.shiftleft(x, 16).bitwiseOR(y))))
     text = F.concat_ws("|", F.concat_ws(",", F.col("a").cast("array<string>")), F.concat_ws(",", F.col("b").cast("array<string>")))
     rows = groups(pieces.repartition("pid")).select("pid", "g", F.size("a").alias("n_a"), F.size("b").alias("n_b"), pairs.alias("p"), text.alias("t"))
     whole = rows.groupBy("pid").agg(
@@ -234,7 +236,7 @@ def _spread(table: pa.Table, name: str, size: int) -> tuple[np.ndarray, np.ndarr
 
 def _count_pairs(block: pa.Table, asked: pa.Table) -> pa.Table:
     """pair and the number of the block's documents that hold it linked."""
-    size = len(block["pieces"][0])
+    size = block["n_pieces"][0].as_py()
     start, n, links = _spread(asked, "links", size)
     _, codes, text, valid = _each_document(block, n > 0)
     kinds, local = np.unique(links, return_inverse=True)
@@ -249,7 +251,7 @@ def _count_pairs(block: pa.Table, asked: pa.Table) -> pa.Table:
         place = np.arange(often.sum()) - np.repeat(np.cumsum(often) - often, often) + np.repeat(start[code], often)
         total += np.bincount(np.unique(np.repeat(doc, often) * len(kinds) + local[place]) % len(kinds), minlength=len(kinds))
     some = total > 0
-    return pa.table({"pair": pa.array(kinds[some].astype(np.int64)), "n": pa.array(total[some])})
+    return pa.table({"pair": pa.array(kinds[some].astype(np.int32)), "n": pa.array(total[some])})
 
 
 FACTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -257,7 +259,7 @@ FACTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 def _sum_documents(block: pa.Table, asked: pa.Table) -> pa.Table:
     """Each document of a block: the sums over its pieces, and its groups as text."""
-    size = len(block["pieces"][0])
+    size = block["n_pieces"][0].as_py()
     code = asked["code"].to_numpy()
     known = np.zeros(size, dtype=bool)
     known[code] = asked["n_a"].to_numpy() > 0
@@ -279,6 +281,7 @@ def _sum_documents(block: pa.Table, asked: pa.Table) -> pa.Table:
 
 def _met(texts: DataFrame, asked: DataFrame, work, kind: str) -> DataFrame:
     """``work`` on each block and what its pieces got."""
+    texts = texts.select("block", "doc_ids", "n", "codes", F.size("pieces").alias("n_pieces"))
     return texts.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(work, kind)
 
 
@@ -288,28 +291,28 @@ def align(docs: DataFrame, a_file: str = "byte_bpe_50k.json", b_file: str = "pie
     texts = blocks(docs, text_col)
     requests = texts.select("block", F.posexplode("pieces").alias("code", "piece"))
     kinds = requests.select("piece").distinct().withColumn("pid", F.monotonically_increasing_id())
-    pieces = durable(encoded(kinds, a_file, b_file), "pieces")
-    asked = durable(requests.join(pieces.select("piece", "pid"), "piece").select("block", "code", "pid"), "asked")
+    pieces = durable(encoded(kinds, a_file, b_file), "pieces", codec="zstd")
+    asked = durable(requests.join(pieces.select("piece", "pid"), "piece").select("block", "code", "pid"), "asked", codec="zstd")
     conf = docs.sparkSession.conf
     was = conf.get(KEEP_PARTITIONING)
     conf.set(KEEP_PARTITIONING, "false")  # pieces are dealt by pid, which is enough for joins on pid and end
     try:
-        whole = durable(aligned(pieces), "aligned")
+        whole = durable(aligned(pieces), "aligned", codec="zstd")
     finally:
         conf.set(KEEP_PARTITIONING, was)
     discard(pieces)
-    held = _met(texts, asked.join(whole.select("pid", "links"), "pid").select("block", "code", "links"), _count_pairs, "pair long, n long")
-    counts = durable(held.groupBy("pair").agg(F.sum("n").alias("n_docs")), "pairs").withColumn("a", F.shiftright("pair", 32))
+    held = _met(texts, asked.join(whole.select("pid", "links"), "pid").select("block", "code", "links"), _count_pairs, "pair int, n long")
+    counts = durable(held.groupBy("pair").agg(F.sum("n").alias("n_docs")), "pairs").withColumn("a", F.shiftrightunsigned("pair", 16))
     most = counts.groupBy("a").agg(F.max("n_docs").alias("most"))
     ids = durable(counts.join(most, "a").select("pair", "n_docs", (F.col("n_docs") == F.col("most")).alias("best")), "ids")
     links = whole.select("pid", F.explode("links").alias("pair")).join(ids, "pair")
     scored = links.groupBy("pid").agg(
         F.count(F.lit(1)).alias("n_links"), F.count_if("best").alias("n_best"), F.sum("n_docs").alias("count_sum")
     )
-    facts = durable(whole.drop("links").join(scored, "pid"), "facts")
+    facts = durable(whole.drop("links").join(scored, "pid"), "facts", codec="zstd")
     discard(whole)
     got = _met(texts, asked.join(facts, "pid").drop("pid"), _sum_documents, "doc_id long, " + ", ".join(f"{f} long" for f in FACTS) + ", groups string")
-    return got, ids.select(F.shiftright("pair", 32).cast("int").alias("a"), F.col("pair").bitwiseAND(LOW - 1).cast("int").alias("b"), "n_docs", "best")
+    return got, ids.select(F.shiftrightunsigned("pair", 16).alias("a"), F.col("pair").bitwiseAND(IDS - 1).alias("b"), "n_docs", "best")
 
 
 def op11_token_alignment(docs: DataFrame) -> DataFrame:
