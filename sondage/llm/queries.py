@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sondage.llm import (
     backoff_lm,
+    jaccard_groups,
     license_rules,
     minimax_shards,
     phrase_mining,
@@ -42,6 +43,10 @@ QUERIES: dict[str, Query] = {
     "op10_probminhash": _over(probminhash.op10_probminhash, "documents"),
     "op11_token_alignment": _over(token_alignment.op11_token_alignment, "documents"),
     "op12_phrase_mining": _over(phrase_mining.op12_phrase_mining, "documents"),
+    "op13_jaccard_groups": _over(jaccard_groups.op13_jaccard_groups, "documents"),
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_backoff_lm": backoff_lm.ORACLE, "op8_preference_format": preference_format.ORACLE, "op12_phrase_mining": phrase_mining.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op7_backoff_lm": backoff_lm.ORACLE, "op8_preference_format": preference_format.ORACLE, "op12_phrase_mining": phrase_mining.ORACLE,
+    "op13_jaccard_groups": jaccard_groups.ORACLE,
+}
