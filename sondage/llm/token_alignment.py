@@ -28,7 +28,7 @@ from __future__ import annotations
 import functools
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -37,6 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sondage.llm.speculative_bpe import byte_alphabet
 from sondage.sources import discard, durable, text_batches
@@ -46,6 +47,8 @@ BLOCK_BYTES = 8_000_000
 BLOCKS_PER_FILE = 4
 #: Links of so many pieces are looked at together, up to the end of a document.
 PIECES_AT_ONCE = 500_000
+#: Answers so many are sorted by block and packed together.
+ROWS_AT_ONCE = 200_000
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 CUT = re.compile(f"(?<=\\S)(?=[ \\n])|(?<=[{LATIN}])(?=[.,;:!?])")
 #: A linked pair is one 32-bit number, so either vocabulary may have so many ids.
@@ -279,10 +282,44 @@ def _sum_documents(block: pa.Table, asked: pa.Table) -> pa.Table:
     return pa.table(out)
 
 
-def _met(texts: DataFrame, asked: DataFrame, work, kind: str) -> DataFrame:
+def _packed(rows: DataFrame) -> DataFrame:
+    """``rows`` (with a column block) as few, compressed ones: block, own (rows of that block) and bytes (their size before)."""
+    names = [c for c in rows.columns if c != "block"]
+
+    def part(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).sort_by("block").combine_chunks()
+        at = np.flatnonzero(np.diff(table["block"].to_numpy(), prepend=-1))
+        blocks_, own, size = table["block"].to_numpy()[at], [], []
+        for lo, hi in zip(at, np.append(at, len(table))[1:], strict=True):
+            whole = pa.concat_batches(table.select(names).slice(lo, hi - lo).to_batches()).serialize()
+            own.append(pa.compress(whole, "zstd", asbytes=True))
+            size.append(whole.size)
+        return pa.RecordBatch.from_arrays([pa.array(blocks_), pa.array(own, pa.binary()), pa.array(size, pa.int64())], names=["block", "own", "bytes"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= ROWS_AT_ONCE:
+                yield part(held)
+                held, n = [], 0
+        if n:
+            yield part(held)
+
+    return rows.mapInArrow(pack, "block long, own binary, bytes long")
+
+
+def _met(texts: DataFrame, asked: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], kind: str) -> DataFrame:
     """``work`` on each block and what its pieces got."""
+    schema = to_arrow_schema(asked.drop("block").schema)
+
+    def unpacked(block: pa.Table, own: pa.Table) -> pa.Table:
+        parts = [pa.decompress(b.as_py(), n.as_py(), "zstd") for b, n in zip(own["own"], own["bytes"], strict=True)]
+        return work(block, pa.Table.from_batches([pa.ipc.read_record_batch(p, schema) for p in parts], schema))
+
     texts = texts.select("block", "doc_ids", "n", "codes", F.size("pieces").alias("n_pieces"))
-    return texts.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(work, kind)
+    return texts.groupBy("block").cogroup(_packed(asked).groupBy("block")).applyInArrow(unpacked, kind)
 
 
 def align(docs: DataFrame, a_file: str = "byte_bpe_50k.json", b_file: str = "piece_bpe_32k.model", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
