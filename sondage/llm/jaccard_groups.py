@@ -4,6 +4,7 @@ Two texts link when 100 * |intersection| >= ``PERCENT`` * |union| of their shing
 
 1. Equal sets become one (``sets``). Similar ones are dealt next to each other by their least shingle hashes and cut into groups of
    at most ``MEMBERS``; a group's token union is its column of the matrix (``Group.union``). Links within a group are found at once.
+   (Of a set's ``LEAST`` hashes the one that most sets have names its group, so few copies of a family stand aside.)
 2. Which groups can hold a partner is told by exact signatures (``signatures``): a set's tokens fall into k parts by hash, where k
    exceeds the largest symmetric difference that linked sets of this size can have. So linked sets have a part in common, token for
    token, and their groups a signature. A passage that many texts share doesn't make them meet, as it never fills a whole part alone.
@@ -44,7 +45,7 @@ from sondage.sources import discard, durable, text_batches
 
 SHINGLE = 4
 PERCENT = 85
-MEMBERS = 64
+MEMBERS = 256
 GROUP_BYTES = 1_000_000
 BYTES_AT_ONCE = 1_000_000
 #: Least hashes by which similar sets become neighbours.
@@ -53,17 +54,19 @@ LEAST = 3
 
 def shingles(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Text number and hash of every distinct shingle of every text, sorted by both."""
-    words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]  # bytes: A-Z only, ASCII white space only
-    n = np.array([len(w) for w in words], dtype=np.int64)
-    flat = np.array([w for ws in words for w in ws], dtype=object)
-    doc = np.repeat(np.arange(len(words)), n)
-    if not len(flat):
-        return doc, np.zeros(0, dtype=np.uint64)
-    code, kinds = pd.factorize(flat)
-    h = pd.util.hash_array(np.array([k.decode("utf-8", "surrogateescape") for k in kinds], dtype=object), categorize=False)[code]
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts], pa.large_string())))  # A-Z and ASCII white space only
+    n = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+    doc, flat = np.repeat(np.arange(len(texts)), n), words.flatten()
+    full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # white space at either end of a text makes an empty word
+    if not full.any():
+        return doc[:0], np.zeros(0, dtype=np.uint64)
+    code = flat.dictionary_encode()
+    h = pd.util.hash_array(code.dictionary.to_numpy(zero_copy_only=False), categorize=False)[code.indices.to_numpy()][full]
+    doc = doc[full]
+    n = np.bincount(doc, minlength=len(texts))
     whole = np.minimum(n, size)[doc]
-    left = n[doc] - (np.arange(len(flat)) - (np.cumsum(n) - n)[doc])  # words from here to the end of the text
-    key = np.zeros(len(flat), dtype=np.uint64)
+    left = n[doc] - (np.arange(len(h)) - (np.cumsum(n) - n)[doc])  # words from here to the end of the text
+    key = np.zeros(len(h), dtype=np.uint64)
     for k in range(size):
         ahead = np.concatenate([h[k:], np.zeros(min(k, len(h)), dtype=np.uint64)])
         key = np.where(k < whole, mix(key * GOLDEN + ahead + U(k + 1)), key)
@@ -175,14 +178,14 @@ def grouped(kinds: DataFrame) -> DataFrame:
         sids, texts, size, name = [], [], 0, None
 
         def done() -> pa.RecordBatch:
-            own = Group(texts)
-            links = [(sids[i], sids[j]) for i, j in linked(own, own) if i != j] if len(sids) > 1 else []
+            own = Group(texts) if len(sids) > 1 else None
+            links = [(sids[i], sids[j]) for i, j in linked(own, own) if i != j] if own else []
             row = [number, sids, texts, [a for a, _ in links], [b for _, b in links]]
             kinds_ = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds_, strict=True)], names=["g", "sids", "texts", "a", "b"])
 
         for b in batches:
-            for sid, m, text in zip(*[b.column(c).to_pylist() for c in ("sid", "m1", "text")], strict=True):
+            for sid, m, text in zip(*[b.column(c).to_pylist() for c in ("sid", "name", "text")], strict=True):
                 if sids and (m != name or len(sids) == MEMBERS or size + len(text) > GROUP_BYTES):
                     yield done()
                     number, sids, texts, size = number + 1, [], [], 0
@@ -193,10 +196,12 @@ def grouped(kinds: DataFrame) -> DataFrame:
         if sids:
             yield done()
 
-    near = [F.col("m")[i].alias(f"m{i + 1}") for i in range(LEAST)]
-    order = [f"m{i + 1}" for i in range(LEAST)] + ["sid"]
-    rows = text_batches(kinds).select("sid", "text", *near).repartitionByRange(*order).sortWithinPartitions(*order)
-    return durable(rows.mapInArrow(group, "g long, sids array<long>, texts array<string>, a array<long>, b array<long>"), "groups", codec="zstd")
+    least = kinds.select("sid", F.explode("m").alias("name"))
+    often = least.groupBy("name").agg(F.count(F.lit(1)).alias("c"))
+    names = least.join(often, "name").groupBy("sid").agg(F.max(F.struct("c", "name"))["name"].alias("name"))
+    order = ["name", "size", "sid"]
+    rows = kinds.select("sid", "text", F.length("text").alias("size")).join(names, "sid").repartitionByRange(*order).sortWithinPartitions(*order)
+    return durable(text_batches(rows).mapInArrow(group, "g long, sids array<long>, texts array<string>, a array<long>, b array<long>"), "groups", codec="zstd")
 
 
 @functools.cache
@@ -214,10 +219,10 @@ def level_parts(level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return most, most + 4 + most // 16
 
 
-def signatures(doc: np.ndarray, key: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Signatures of all sets, given by text number and token; ``n``: their sizes."""
+def signatures(doc: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of all sets, given by text number and token, and whose they are; ``n``: the sets' sizes."""
     own = np.searchsorted(bounds(), np.maximum(n, 1), side="right") - 1
-    out = []
+    out, owners = [], []
     for above in (0, 1):
         level = own + above
         most, parts = level_parts(level)
@@ -231,18 +236,26 @@ def signatures(doc: np.ndarray, key: np.ndarray, n: np.ndarray) -> np.ndarray:
         signed = used | (in_use <= most)[owner]
         name = (level[owner].astype(np.uint64) << U(40)) + (np.arange(size) - start[owner]).astype(np.uint64)
         out.append(mix(tokens ^ mix(name + U(1)))[signed])
-    return np.concatenate(out)
+        owners.append(owner[signed])
+    return np.concatenate(out), np.concatenate(owners)
 
 
 def _signed(groups: DataFrame) -> DataFrame:
-    """sig and g, each once."""
+    """sig and g, once for each group but where its texts are far apart in memory."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for g, texts in zip(b.column("g").to_pylist(), b.column("texts").to_pylist(), strict=True):
-                doc, key = shingles(texts)
-                sig = np.unique(signatures(doc, key, np.bincount(doc, minlength=len(texts))))
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.full(len(sig), g))], names=["sig", "g"])
+            lists = b.column("texts")
+            group = np.repeat(b.column("g").to_numpy(), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            own = pa.RecordBatch.from_arrays([pa.array(group), lists.flatten()], names=["g", "text"])
+            for part in _portions(own, "text"):
+                doc, key = shingles(part.column("text").to_pylist())
+                sig, owner = signatures(doc, key, np.bincount(doc, minlength=part.num_rows))
+                g = part.column("g").to_numpy()[owner]
+                order = np.argsort(sig, kind="stable")  # g ascends in each portion, so what a group's texts share comes together
+                sig, g = sig[order], g[order]
+                once = np.concatenate([[True], (sig[1:] != sig[:-1]) | (g[1:] != g[:-1])])[: len(sig)]
+                yield pa.RecordBatch.from_arrays([pa.array(sig[once].view(np.int64)), pa.array(g[once])], names=["sig", "g"])
 
     return text_batches(groups).select("g", "texts").mapInArrow(sign, "sig long, g long")
 
@@ -266,8 +279,8 @@ def _opened(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 def links(groups: DataFrame) -> DataFrame:
     """a and b (sids): links enough to connect all that are linked."""
     sign = W.partitionBy("sig")
-    met = _signed(groups).withColumn("lead", F.min("g").over(sign)).withColumn("n", F.count(F.lit(1)).over(sign)).filter("n > 1")
-    met = durable(met, "met")
+    met = _signed(groups).withColumn("lead", F.min("g").over(sign)).withColumn("last", F.max("g").over(sign)).filter("lead < last")
+    met = durable(met.select("sig", "g", "lead").distinct(), "met")  # members of one group share signatures
     star = durable(met.filter("g > lead").select(F.col("lead").alias("x"), F.col("g").alias("y")).distinct(), "pairs")
     found = groups.select(F.explode(F.arrays_zip("a", "b")).alias("l")).select("l.a", "l.b").unionByName(_opened(star, groups))
     found = durable(found, "links")
@@ -275,7 +288,7 @@ def links(groups: DataFrame) -> DataFrame:
     # a group's root, if all its texts have one
     member = groups.select("g", F.explode("sids").alias("key")).join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
     of = member.groupBy("g").agg(F.when(F.min("root") == F.max("root"), F.min("root")).alias("root"))
-    many = durable(met.filter("n > 2").join(of, "g"), "many")
+    many = durable(met.join(of, "g"), "many")
     mains = many.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("sig").agg(F.max_by("root", "c").alias("main"), F.count(F.lit(1)).alias("roots"))
     open_ = many.join(mains.filter("roots > 1 or main is null"), "sig")
     few = open_.filter("main is null or root is null or root <> main").select("sig", F.col("g").alias("o"), F.col("root").alias("o_root"))

@@ -114,7 +114,7 @@ def test_linked_sets_share_a_signature():
                 continue
             x = rng.integers(0, 2**63, size=n).astype(np.uint64)
             y = np.concatenate([x[:most], rng.integers(0, 2**63, size=m - most).astype(np.uint64)])
-            signs = [set(jaccard_groups.signatures(np.zeros(len(s), dtype=np.int64), np.sort(s), np.array([len(s)])).tolist()) for s in (x, y)]
+            signs = [set(jaccard_groups.signatures(np.zeros(len(s), dtype=np.int64), np.sort(s), np.array([len(s)]))[0].tolist()) for s in (x, y)]
             assert signs[0] & signs[1], (n, m, most)
 
 
@@ -122,5 +122,5 @@ def test_sets_whose_parts_in_use_may_all_differ_meet_in_empty_ones(monkeypatch):
     """With all tokens in one part, only parts without tokens are equal."""
     monkeypatch.setattr(jaccard_groups, "mix", lambda x: np.asarray(x, dtype=np.uint64))
     x = np.arange(1, 8, dtype=np.uint64) * np.uint64(5 * 7 * 11 * 13)
-    signs = [jaccard_groups.signatures(np.zeros(len(s), dtype=np.int64), s, np.array([len(s)])) for s in (x, x[:-1])]
+    signs = [jaccard_groups.signatures(np.zeros(len(s), dtype=np.int64), s, np.array([len(s)]))[0] for s in (x, x[:-1])]
     assert set(signs[0].tolist()) & set(signs[1].tolist())
