@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -272,8 +273,15 @@ def _opened(pairs: DataFrame, groups: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     of = lambda side: groups.select(F.col("g").alias(side), F.col("sids").alias(f"{side}_sids"), F.col("texts").alias(f"{side}_texts"))
-    both = pairs.join(of("x"), "x").join(of("y"), "y")
-    return durable(text_batches(both).mapInArrow(open_, "a long, b long"), "links")
+    bytes_of = durable(groups.select("g", F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t)).alias("bytes")), "sizes")
+    moved = pairs.select(F.explode(F.array("x", "y")).alias("g")).join(bytes_of, "g").agg(F.sum("bytes")).first()[0] or 0
+    slices = 1 + moved // max(1, bytes_of.agg(F.sum("bytes")).first()[0] or 0)  # one after the other, so the disk holds about the texts once more
+    found = []
+    for i in range(slices):
+        own = pairs.filter(F.pmod(F.xxhash64("x", "y"), F.lit(slices)) == i)
+        both = own.join(of("x"), "x").join(of("y"), "y")
+        found.append(durable(text_batches(both).mapInArrow(open_, "a long, b long"), "links"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def links(groups: DataFrame) -> DataFrame:
