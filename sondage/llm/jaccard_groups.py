@@ -8,6 +8,7 @@ Two texts link when 100 * |intersection| >= ``PERCENT`` * |union| of their shing
 2. Which groups can hold a partner is told by exact signatures (``signatures``): a set's tokens fall into k parts by hash, where k
    exceeds the largest symmetric difference that linked sets of this size can have. So linked sets have a part in common, token for
    token, and their groups a signature. A passage that many texts share doesn't make them meet, as it never fills a whole part alone.
+   As k exceeds that difference by some, linked sets have several parts in common (``need``), and groups with fewer don't meet.
 3. For two groups that met, each text's overlap with the other group's union bounds its overlap with every member; only texts whose
    bound reaches the threshold are opened, and those are compared exactly (``linked``).
 4. First every group is compared with the least group of each signature. Components are formed; a pair of groups that meets only
@@ -46,7 +47,7 @@ from sondage.sources import discard, durable, text_batches
 
 SHINGLE = 4
 PERCENT = 85
-MEMBERS = 256
+MEMBERS = 512
 GROUP_BYTES = 1_000_000
 BYTES_AT_ONCE = 1_000_000
 #: Least hashes by which similar sets become neighbours.
@@ -217,13 +218,14 @@ def bounds() -> np.ndarray:
 def level_parts(level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The largest symmetric difference of linked sets at a level, and its number of parts: one more, and some to spare."""
     most = 2 * (bounds()[level + 1] - 1) * (100 - PERCENT) // (100 + PERCENT)
-    return most, most + 4 + most // 16
+    return most, most + 4 + most // 8
 
 
-def signatures(doc: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of all sets, given by text number and token, and whose they are; ``n``: the sets' sizes."""
+def signatures(doc: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of all sets, given by text number and token, whose they are, and how many of them a linked set has at least; ``n``: the
+    sets' sizes."""
     own = np.searchsorted(bounds(), np.maximum(n, 1), side="right") - 1
-    out, owners = [], []
+    out, owners, needs = [], [], []
     for above in (0, 1):
         level = own + above
         most, parts = level_parts(level)
@@ -238,11 +240,12 @@ def signatures(doc: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndar
         name = (level[owner].astype(np.uint64) << U(40)) + (np.arange(size) - start[owner]).astype(np.uint64)
         out.append(mix(tokens ^ mix(name + U(1)))[signed])
         owners.append(owner[signed])
-    return np.concatenate(out), np.concatenate(owners)
+        needs.append(np.maximum(in_use - most, 1)[owner[signed]])
+    return np.concatenate(out), np.concatenate(owners), np.concatenate(needs)
 
 
 def _signed(groups: DataFrame) -> DataFrame:
-    """sig and g, once for each group but where its texts are far apart in memory."""
+    """sig, g and need, once for each group but where its texts are far apart in memory."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -251,14 +254,15 @@ def _signed(groups: DataFrame) -> DataFrame:
             own = pa.RecordBatch.from_arrays([pa.array(group), lists.flatten()], names=["g", "text"])
             for part in _portions(own, "text"):
                 doc, key = shingles(part.column("text").to_pylist())
-                sig, owner = signatures(doc, key, np.bincount(doc, minlength=part.num_rows))
+                sig, owner, need = signatures(doc, key, np.bincount(doc, minlength=part.num_rows))
                 g = part.column("g").to_numpy()[owner]
                 order = np.argsort(sig, kind="stable")  # g ascends in each portion, so what a group's texts share comes together
                 sig, g = sig[order], g[order]
-                once = np.concatenate([[True], (sig[1:] != sig[:-1]) | (g[1:] != g[:-1])])[: len(sig)]
-                yield pa.RecordBatch.from_arrays([pa.array(sig[once].view(np.int64)), pa.array(g[once])], names=["sig", "g"])
+                first = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (g[1:] != g[:-1])])[: len(sig)])
+                least = np.minimum.reduceat(need[order], first) if len(first) else need
+                yield pa.RecordBatch.from_arrays([pa.array(sig[first].view(np.int64)), pa.array(g[first]), pa.array(least)], names=["sig", "g", "need"])
 
-    return text_batches(groups).select("g", "texts").mapInArrow(sign, "sig long, g long")
+    return text_batches(groups).select("g", "texts").mapInArrow(sign, "sig long, g long, need long")
 
 
 def _opened(pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -287,9 +291,13 @@ def _opened(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 def links(groups: DataFrame) -> DataFrame:
     """a and b (sids): links enough to connect all that are linked."""
     sign = W.partitionBy("sig")
-    met = _signed(groups).withColumn("lead", F.min("g").over(sign)).withColumn("last", F.max("g").over(sign)).filter("lead < last")
-    met = durable(met.select("sig", "g", "lead").distinct(), "met")  # members of one group share signatures
-    star = durable(met.filter("g > lead").select(F.col("lead").alias("x"), F.col("g").alias("y")).distinct(), "pairs")
+    met = _signed(groups).withColumn("lead", F.min(F.struct("g", "need")).over(sign)).withColumn("last", F.max("g").over(sign))
+    met = met.filter("lead.g < last").groupBy("sig", "g", F.col("lead.g").alias("lead"), F.col("lead.need").alias("lead_need"))
+    met = durable(met.agg(F.min("need").alias("need")), "met")  # members of one group share signatures
+    enough = lambda rows, x, y, other: rows.groupBy(x.alias("x"), y.alias("y")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.greatest("need", other)).alias("least")
+    ).filter("n >= least").select("x", "y")
+    star = durable(enough(met.filter("g > lead"), F.col("lead"), F.col("g"), "lead_need"), "pairs")
     found = groups.select(F.explode(F.arrays_zip("a", "b")).alias("l")).select("l.a", "l.b").unionByName(_opened(star, groups))
     found = durable(found, "links")
     root = components(found)
@@ -298,10 +306,10 @@ def links(groups: DataFrame) -> DataFrame:
     of = member.groupBy("g").agg(F.when(F.min("root") == F.max("root"), F.min("root")).alias("root"))
     many = durable(met.join(of, "g"), "many")
     mains = many.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("sig").agg(F.max_by("root", "c").alias("main"), F.count(F.lit(1)).alias("roots"))
-    open_ = many.join(mains.filter("roots > 1 or main is null"), "sig")
-    few = open_.filter("main is null or root is null or root <> main").select("sig", F.col("g").alias("o"), F.col("root").alias("o_root"))
-    rest = open_.join(few, "sig").filter("g <> o and (root is null or o_root is null or root <> o_root)")
-    rest = rest.select(F.least("g", "o").alias("x"), F.greatest("g", "o").alias("y")).distinct().join(star, ["x", "y"], "left_anti")
+    open_ = many.join(mains.filter("roots > 1 or main is null"), "sig").withColumn("few", F.expr("main is null or root is null or root <> main"))
+    few = open_.filter("few").select("sig", F.col("g").alias("o"), F.col("root").alias("o_root"), F.col("need").alias("o_need"))
+    rest = open_.join(few, "sig").filter("(if(few, g < o, g <> o)) and (root is null or o_root is null or root <> o_root)")
+    rest = enough(rest, F.least("g", "o"), F.greatest("g", "o"), "o_need").join(star, ["x", "y"], "left_anti")
     more = _opened(durable(rest, "pairs"), groups)
     discard(met)
     return found.unionByName(more)

@@ -114,8 +114,10 @@ def test_linked_sets_share_a_signature():
                 continue
             x = rng.integers(0, 2**63, size=n).astype(np.uint64)
             y = np.concatenate([x[:most], rng.integers(0, 2**63, size=m - most).astype(np.uint64)])
-            signs = [set(jaccard_groups.signatures(np.zeros(len(s), dtype=np.int64), np.sort(s), np.array([len(s)]))[0].tolist()) for s in (x, y)]
-            assert signs[0] & signs[1], (n, m, most)
+            (sig, _, need), (other, _, other_need) = (jaccard_groups.signatures(np.zeros(len(s), dtype=np.int64), np.sort(s), np.array([len(s)])) for s in (x, y))
+            both = set(sig.tolist()) & set(other.tolist())
+            least = [max(a[k] for a in (dict(zip(sig.tolist(), need, strict=True)), dict(zip(other.tolist(), other_need, strict=True)))) for k in both]
+            assert both and len(both) >= min(least), (n, m, most)
 
 
 def test_sets_whose_parts_in_use_may_all_differ_meet_in_empty_ones(monkeypatch):
