@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sondage.sources import discard, durable
+
 #: So many bands of a pairing are sorted in one piece.
 STRETCH = 64
 
@@ -86,3 +88,70 @@ def pair_unique(left: DataFrame, right: DataFrame, seconds: int) -> DataFrame:
     met = mine.unionByName(theirs).withColumns({"n": n, "partner": F.last("rid", ignorenulls=True).over(until)}).filter("asks")
     state = F.when(F.col("n") == 0, "unmatched").when(F.col("n") == 1, "unique_inferred").otherwise("ambiguous")
     return met.select("id", F.when(F.col("key").isNull() | F.col("t").isNull(), "unmatched").otherwise(state).alias("pairing"), F.when((F.col("n") == 1) & F.col("key").isNotNull() & F.col("t").isNotNull(), F.col("partner")).alias("partner"))
+
+
+def _claims(left: DataFrame, right: DataFrame, seconds: int) -> DataFrame:
+    """One round of :func:`pair_consumed`: id, pairing and partner of the left rows that no earlier open row can change any more.
+
+    Rows of a key are sorted by stretches of time; a right row also lies in the stretches that its band reaches, a left row as a ghost in
+    the next stretches as long as it can still claim what rows there want. ``n`` rights stand in a row's band, ``safe`` of them beyond the band
+    of the open row before; only that one's band can hold rights of this one that an earlier row may claim.
+    """
+    length = seconds * STRETCH + 1
+    stretch = lambda t: F.floor(t / length).cast("long")
+    none = F.lit(None).cast("long")
+    asks = left.select("id", "key", "t", none.alias("rid"), F.lit(True).alias("real"), stretch(F.col("t")).alias("stretch"))
+    own_, reach = stretch(F.col("t")), stretch(F.col("t") + 2 * seconds)
+    ghosts = left.filter(reach > own_).select("id", "key", "t", none.alias("rid"), F.lit(False).alias("real"), F.explode(F.sequence(own_ + 1, reach)).alias("stretch"))
+    theirs = right.select(
+        none.alias("id"), "key", "t", F.col("id").alias("rid"), F.lit(False).alias("real"),
+        F.explode(F.array_distinct(F.array(stretch(F.col("t") - seconds), stretch(F.col("t")), stretch(F.col("t") + seconds)))).alias("stretch"),
+    )
+    by = W.partitionBy("key", "stretch").orderBy("t")
+    upto, below = by.rangeBetween(W.unboundedPreceding, seconds), by.rangeBetween(W.unboundedPreceding, -seconds - 1)
+    own = asks.unionByName(ghosts).unionByName(theirs).withColumns({
+        "to": F.count("rid").over(upto), "from": F.count("rid").over(below), "last": F.last("rid", ignorenulls=True).over(upto),
+    }).filter("rid is null")
+    order = W.partitionBy("key", "stretch").orderBy("t", "id")
+    own = own.withColumns({"p_to": F.lag("to").over(order), "p_from": F.lag("from").over(order)})
+    same = F.coalesce((F.col("to") == F.col("p_to")) & (F.col("from") == F.col("p_from")), F.lit(False))
+    own = own.withColumn("run", F.sum(F.when(same, 0).otherwise(1)).over(order))
+    n, safe = F.col("to") - F.col("from"), F.col("to") - F.greatest(F.col("from"), F.coalesce("p_to", "from"))
+    state = F.when(n == 0, "unmatched").when(safe >= 2, "ambiguous").when((n == 1) & (safe == 1), "unique_inferred")
+    own = own.withColumn("state", F.when(~same | (n == 0), state))
+    # rows that want the same rights share the lot of the first of them, if that one claims none
+    first = F.first(F.when(F.col("real"), F.col("state"))).over(W.partitionBy("key", "stretch", "run").orderBy("t", "id"))
+    own = own.withColumn("pairing", F.coalesce("state", F.when(first == "ambiguous", first)))
+    fixed = own.filter("real and pairing is not null")
+    return fixed.select("id", "pairing", F.when(F.col("pairing") == "unique_inferred", F.col("last")).alias("partner"))
+
+
+def pair_consumed(left: DataFrame, right: DataFrame, seconds: int) -> DataFrame:
+    """left(id, at, key) against right(id, at, key) within +-seconds, in the order of time and id: a left row with one right row left
+    over takes it (unique_inferred), so that later rows can't; with more it takes none (ambiguous), with none it is unmatched.
+
+    Each round fixes the rows whose outcome no earlier open row can change, all keys and stretches at once, and removes what they took;
+    the first open row of a key is always among them. Rounds follow the longest chain of rows that wait for each other, not the number
+    of rows; each is stored, and the driver sees one count. Rows without a key or a time are unmatched.
+    """
+    at = F.unix_seconds(F.col("at").cast("timestamp"))
+    whole = "key is not null and t is not null"
+    open_ = durable(left.select("id", "key", at.alias("t")), "open")
+    none = F.lit(None).cast(right.schema["id"].dataType)
+    done = [open_.filter(f"not ({whole})").select("id", F.lit("unmatched").alias("pairing"), none.alias("partner"))]
+    open_ = open_.filter(whole)
+    rest = durable(right.select("id", "key", at.alias("t")).filter(whole), "rest")
+    while not open_.isEmpty():
+        fixed = durable(_claims(open_, rest, seconds), "fixed")
+        done.append(fixed)
+        now = durable(open_.join(fixed.select("id"), "id", "left_anti"), "open")
+        taken = fixed.filter("partner is not null").select(F.col("partner").alias("id"))
+        left_over = durable(rest.join(taken, "id", "left_anti"), "rest")
+        discard(rest)
+        if len(done) > 2:  # the first table also holds the rows without a key
+            discard(open_)
+        open_, rest = now, left_over
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out

@@ -86,13 +86,14 @@ def value_kinds(series: DataFrame, catalogue: DataFrame | None) -> DataFrame:
 
 
 def nearest(asked: DataFrame, captures: DataFrame, key: str) -> DataFrame:
-    """asked(id, key, ts) with the capture nearest in time, the earlier of two; both sides pass one window, so no pairs are made."""
+    """asked(id, key, ts) with the capture nearest in time, the earlier of two; both sides pass two windows, so no pairs are made."""
     both = asked.select(key, "ts", "id", F.lit(None).cast("timestamp_ntz").alias("__c")).unionByName(
         captures.select(key, "ts").distinct().select(key, "ts", F.lit(None).cast(asked.schema["id"].dataType).alias("id"), F.col("ts").alias("__c"))
     )
-    by = W.partitionBy(key).orderBy("ts")
-    before = F.last("__c", ignorenulls=True).over(by.rangeBetween(W.unboundedPreceding, 0))
-    after = F.first("__c", ignorenulls=True).over(by.rangeBetween(0, W.unboundedFollowing))
+    # both frames grow from one end, so each is a running value; one that shrinks is read anew for every row
+    up, down = W.partitionBy(key).orderBy("ts"), W.partitionBy(key).orderBy(F.desc("ts"))
+    before = F.last("__c", ignorenulls=True).over(up.rangeBetween(W.unboundedPreceding, 0))
+    after = F.last("__c", ignorenulls=True).over(down.rangeBetween(W.unboundedPreceding, 0))
     both = both.withColumns({"__b": before, "__a": after}).filter("id is not null")
     closer = F.col("__a") - F.col("ts") < F.col("ts") - F.col("__b")
     return both.select("id", key, "ts", F.when(F.col("__b").isNull() | closer, F.col("__a")).otherwise(F.col("__b")).alias("captured"))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sondage.functions import ranked
+from sondage.sources import discard, durable
 
 #: Thresholds of the comparisons.
 Z_SHIFTED = 3.0
@@ -71,10 +73,15 @@ def classify(current: DataFrame, baseline: DataFrame, expected_base: int, shifte
     )
 
 
-def onset(current: DataFrame, baseline: DataFrame, threshold: float = Z_SHIFTED, key: str = "name") -> DataFrame:
-    """First bucket that deviates together with one of the next two existing buckets, and the bucket before it."""
+def onset(current: DataFrame, baseline: DataFrame, threshold: float = Z_SHIFTED, key: str = "name", expected: int = 0) -> DataFrame:
+    """First bucket that deviates together with one of the next two existing buckets, and the bucket before it.
+
+    A series with less than 30 % of the ``expected`` buckets has none, as its first point would be taken for it; 0: as many as there are.
+    """
     b = robust_stats(baseline, key)
-    top = current.groupBy(key).agg(F.max(F.abs("value")).alias("c_scale"))
+    top = current.groupBy(key).agg(F.max(F.abs("value")).alias("c_scale"), F.count(F.lit(1)).alias("c_n"))
+    if expected:
+        top = top.filter(F.col("c_n") / expected >= PRESENCE_INTERMITTENT)
     scale = F.greatest("c_scale", "scale")
     scale = F.when(scale == 0, F.lit(1.0)).otherwise(scale)
     least = F.greatest(MAD_SCALE * F.col("mad"), 0.05 * F.abs("med"), 0.01 * scale, F.lit(1e-9))
@@ -164,22 +171,66 @@ def capacity(usage: DataFrame, limits: DataFrame, on: str) -> DataFrame:
     return u.join(m, on, "left").select(on, "used", F.when(ok, F.col("limit")).alias("limit"), F.when(ok, 100 * F.col("used") / F.col("limit")).alias("percent"))
 
 
+#: Points of a series that are folded in one piece.
+CHUNK = 10_000
+
+
+def _folded(chunks: DataFrame, key: str, tolerance: float) -> DataFrame:
+    """key, chunk, last (the value kept at its end) and the changes within of each chunk, from the value ``start`` kept before it."""
+
+    def fold(points: pd.DataFrame) -> pd.DataFrame:
+        points = points.sort_values("bucket")
+        bucket, value = points["bucket"].to_numpy(), points["value"].to_numpy(dtype=float)
+        kept = points["start"].iloc[0]
+        kept = value[0] if kept is None or kept != kept else float(kept)
+        found = []
+        for at, v in zip(bucket.tolist(), value.tolist(), strict=True):
+            if abs(v - kept) > tolerance * max(abs(v), abs(kept)):
+                found.append({"bucket": at, "was": kept, "is": v})
+                kept = v
+        return pd.DataFrame({key: [points[key].iloc[0]], "chunk": [points["chunk"].iloc[0]], "last": [kept], "changes": [found]})
+
+    kind = dict(chunks.dtypes)
+    points = f"`{key}` {kind[key]}, chunk long, last double, changes array<struct<bucket: {kind['bucket']}, was: double, `is`: double>>"
+    return chunks.groupBy(key, "chunk").applyInPandas(fold, points)
+
+
 def change_points(series: DataFrame, key: str = "name", tolerance: float = 1e-9) -> DataFrame:
     """Points whose value differs from the last one that changed by more than a relative tolerance, so that a slow drift is seen too.
 
-    A series is folded in order; its points are buckets of a bounded window.
+    A series is cut into chunks of about ``CHUNK`` points by time, which are folded by themselves, in time linear in their points. A chunk
+    needs the value kept before it: at first it starts from its own first value, then from what the chunk before ended with, until no
+    end differs any more. As a change forgets what was before, that takes two or three rounds, however long the series. Points without
+    a value or a time don't count.
     """
-    point = lambda p: F.struct(p["bucket"].alias("bucket"), F.lit(None).cast("double").alias("was"), p["value"].alias("is"))
-    far = lambda x, y: F.abs(x - y) > tolerance * F.greatest(F.abs(x), F.abs(y))
-
-    def step(seen: Column, p: Column) -> Column:
-        last = F.element_at(seen, -1)["is"]
-        changed = F.struct(p["bucket"].alias("bucket"), last.alias("was"), p["value"].alias("is"))
-        return F.when(far(p["value"], last), F.array_append(seen, changed)).otherwise(seen)
-
-    points = series.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("bucket", F.col("value").cast("double").alias("value")))).alias("p"))
-    folded = F.aggregate(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))), F.array(point(F.element_at("p", 1))), step)
-    return points.select(key, F.explode(folded).alias("c")).select(key, "c.*").filter("was is not null")
+    rows = series.select(key, F.col("bucket"), F.col("value").cast("double").alias("value")).filter(F.col("value").isNotNull() & F.col("bucket").isNotNull())
+    spans = rows.groupBy(key).agg(F.min("bucket").alias("__lo"), F.max("bucket").alias("__hi"), F.count(F.lit(1)).alias("__n"))
+    share = (F.col("bucket") - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1)
+    chunk = F.floor(share * F.ceil(F.col("__n") / CHUNK)).cast("long")
+    chunks = durable(rows.join(spans, key).select(key, "bucket", "value", chunk.alias("chunk")), "chunks")
+    ends = durable(_folded(chunks.withColumn("start", F.lit(None).cast("double")), key, tolerance), "ends")
+    while True:
+        before = F.lag("last").over(W.partitionBy(key).orderBy("chunk"))
+        starts = ends.select(key, "chunk", before.alias("start"))
+        now = durable(_folded(chunks.join(starts, [key, "chunk"]), key, tolerance), "ends")
+        old = ends.select(key, "chunk", F.col("last").alias("__was"))
+        moved = not now.join(old, [key, "chunk"]).filter("not last <=> __was").isEmpty()
+        discard(ends)
+        ends = now
+        if not moved:
+            return ends.select(key, F.explode("changes").alias("c")).select(key, "c.*")
+
+
+def stability(series: DataFrame, expected: int, key: str = "name", tolerance: float = 1e-9) -> DataFrame:
+    """Each series with its number of points and changes, its ends, and whether it changed, was observed constant, or has too few of the
+    ``expected`` points to tell (under 30 %)."""
+    seen = series.filter(F.col("value").isNotNull() & F.col("bucket").isNotNull()).groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.min("bucket").alias("first_at"), F.max("bucket").alias("last_at"), F.max_by("value", "bucket").alias("last_value")
+    )
+    changes = change_points(series, key, tolerance).groupBy(key).agg(F.count(F.lit(1)).alias("changes"))
+    rows = seen.join(changes, key, "left").withColumn("changes", F.coalesce("changes", F.lit(0)))
+    sparse = (F.lit(expected) > 0) & (F.col("n") * 10 < expected * 3)
+    return rows.withColumn("stability", F.when(F.col("changes") > 0, "changed").when(sparse, "unknown_sparse").otherwise("observed_constant"))
 
 
 def restart_increase(df: DataFrame, keys: list[str], most: int) -> DataFrame:

@@ -97,15 +97,20 @@ def changes_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("second", F.col("second").cast("timestamp_ntz"))
 
 
-PAIRS = f"""with {t.CHANGES}, l as (select * from changes where action = 'F'), r as (select * from changes where action = 'O'),
-x as (select l.id, count(r.id) as n, min(r.id) as rid from l left join r on l.category = r.category and abs(epoch(l."at") - epoch(r."at")) <= 7200 group by 1)
-select id, case when n = 0 then 'unmatched' when n = 1 then 'unique_inferred' else 'ambiguous' end as pairing, case when n = 1 then rid end as partner from x"""
+PAIRS = f"""with recursive {t.CHANGES}, r as (select * from changes where action = 'O'),
+l as (select id, category, row_number() over (partition by category order by "at", id) as i,
+  (select coalesce(list(r.id), []) from r where r.category = c.category and abs(epoch(c."at") - epoch(r."at")) <= 90000) as wants from changes c where action = 'F'),
+walk as (select category, 0::bigint as i, []::bigint[] as used, null::bigint as id, []::bigint[] as open from (select distinct category from l)
+  union all select l.category, l.i, case when len(list_filter(wants, lambda x: not list_contains(used, x))) = 1 then list_concat(used, list_filter(wants, lambda x: not list_contains(used, x))) else used end,
+    l.id, list_filter(wants, lambda x: not list_contains(used, x)) from walk w join l on l.category = w.category and l.i = w.i + 1)
+select id, case len(open) when 0 then 'unmatched' when 1 then 'unique_inferred' else 'ambiguous' end as pairing, case when len(open) = 1 then open[1] end as partner from walk where i > 0"""
 
 
 @PLANS.add(PAIRS)
 def changes_pair_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole days apart by one at most, so that neighbouring days compete."""
     rows = t.changes(spark, sf_dir).select("id", "at", F.col("category").alias("key"), "action")
-    return ev.pair_unique(rows.filter("action = 'F'"), rows.filter("action = 'O'"), 7200)
+    return ev.pair_consumed(rows.filter("action = 'F'"), rows.filter("action = 'O'"), 90_000)
 
 
 @PLANS.add(f"""with {t.CHANGES}, {t.TRANSITIONS} select 'audit' as source, id as ref, "at" from changes

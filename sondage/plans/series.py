@@ -96,20 +96,20 @@ ONSET = """o as (select m.name, bucket, value, row_number() over w as i, lag(buc
     (abs(value - bs.med) / greatest(1.4826 * mad, 0.05 * abs(bs.med), 0.01 * case when greatest(cs.scale, bs.scale) = 0 then 1 else greatest(cs.scale, bs.scale) end, 1e-9) >= 1.5)::int as over
   from m join bs on m.name = bs.name join cs on m.name = cs.name where m.cur window w as (partition by m.name order by bucket)),
 p as (select *, sum(over) over (partition by name order by bucket rows between current row and 2 following) as near from o),
-q as (select name, min(i) as i from p where over = 1 and near >= 2 group by name),
+q as (select name, min(i) as i from p where over = 1 and near >= 2 and name in (select name from cs where n / 60 >= 0.3) group by name),
 onset as (select p.name, before as onset_from, bucket as onset_to, case when p.i = 1 then 'outside_window' else 'found' end as state from p join q on p.name = q.name and p.i = q.i)"""
 
 
 @PLANS.add(f"{BOTH}, {ONSET} select * from onset")
 def onset_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.onset(*windows(spark, sf_dir), 1.5)
+    return op.onset(*windows(spark, sf_dir), 1.5, expected=60)
 
 
 @PLANS.add(f"""{BOTH}, {ONSET}, l as (select name, onset_from, onset_to, lag(onset_to) over (order by onset_from, onset_to, name) as before from onset where state = 'found')
 select name, onset_from, onset_to, case when before is null then 'first' when onset_from < before then 'indeterminate' else 'after' end as versus_previous,
   case when onset_from >= before then onset_from - before end as gap_seconds from l""")
 def onset_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.timeline(op.onset(*windows(spark, sf_dir), 1.5))
+    return op.timeline(op.onset(*windows(spark, sf_dir), 1.5, expected=60))
 
 
 @PLANS.add(f"""{BOTH}, r as (select *, row_number() over (partition by name order by bucket) - 1 as i, ceil(count(*) over (partition by name) / 20) as size from m)
@@ -136,6 +136,19 @@ def limit_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.change_points(c.unionByName(b).withColumn("value", F.round("value")))
 
 
+WALK = f"""{BOTH.replace('with ', 'with recursive ', 1)}, w as (select name, bucket, round(value / 20) as v, row_number() over (partition by name order by bucket) as i from m),
+walk as (select name, bucket, i, v as kept, false as moved from w where i = 1
+  union all select w.name, w.bucket, w.i, case when abs(v - kept) > 1e-9 * greatest(abs(v), abs(kept)) then v else kept end, abs(v - kept) > 1e-9 * greatest(abs(v), abs(kept))
+  from walk join w on walk.name = w.name and w.i = walk.i + 1)"""
+
+
+@PLANS.add(f"""{WALK}, c as (select name, count(*) filter (moved) as changes from walk group by name), s as (select name, count(*) as n, min(bucket) as first_at, max(bucket) as last_at, arg_max(v, bucket) as last_value from w group by name)
+select name, n, first_at, last_at, last_value, changes, case when changes > 0 then 'changed' when n * 10 < 360 then 'unknown_sparse' else 'observed_constant' end as stability from s join c using (name)""")
+def limit_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, b = windows(spark, sf_dir)
+    return op.stability(c.unionByName(b).withColumn("value", F.round(F.col("value") / 20)), 120)
+
+
 STATS = """x as (select name, cur, avg(value) as a, max(value) as mx, min(value) as mn, count(*) as n, arg_max(value, {'ts': ts, 'v': value}) as last from raw group by all)"""
 
 
