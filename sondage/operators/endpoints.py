@@ -39,12 +39,13 @@ def totals(calls: DataFrame) -> DataFrame:
     """One row for each endpoint: calls, roots, codes, slowest target and the failures and rejections that its kind tells apart.
 
     Failures of HTTP endpoints are codes of 500 and more, and errors without a code; rejections are codes of 400 to 499. Elsewhere failures
-    are errors, and rejections are unknown (-1).
+    are errors, and rejections are unknown (-1). Spans that came twice count once in the rate of failures.
     """
     code = attribute("http.response.status_code").try_cast("int")
     failed, coded = F.col("status") == "ERROR", attribute("http.response.status_code") != ""
     rows = described(calls).groupBy(*KEYS, "axis").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("parent_span_id").isNull()).alias("root_n"), F.count_if(code >= 500).alias("http_5xx"),
+        F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct("trace_id", "span_id")).alias("unique_n"),
+        F.count_if(F.col("parent_span_id").isNull()).alias("root_n"), F.count_if(code >= 500).alias("http_5xx"),
         F.count_if((code >= 400) & (code < 500)).alias("http_4xx"), F.count_if(coded).alias("http_n"), F.count_if(~coded & failed).alias("err_nohttp"),
         F.count_if(failed).alias("status_err"), F.count("error").alias("labelled"), F.min("target_id").alias("target_id"),
     )
@@ -54,7 +55,7 @@ def totals(calls: DataFrame) -> DataFrame:
     rows = rows.withColumns({"failed_n": failures, "rejected_n": F.when(by_code, F.col("http_4xx")).otherwise(F.lit(-1).cast("long"))})
     clean = (F.col("failed_n") == 0) & (F.col("rejected_n") <= 0) & (F.col("labelled") == 0)
     return rows.withColumns({
-        "semantics": F.when(clean, "none").otherwise(kind), "failed_rate": F.col("failed_n") / F.col("n"),
+        "semantics": F.when(clean, "none").otherwise(kind), "failed_rate": F.col("failed_n") / F.col("unique_n"),
         "rejected_rate": F.when((F.col("rejected_n") >= 0) & (F.col("http_n") > 0), F.col("rejected_n") / F.col("http_n")).otherwise(0.0),
     }).drop("labelled")
 

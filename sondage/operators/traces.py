@@ -11,6 +11,7 @@ from sondage.functions import quantiles
 #: Thresholds of the endpoint and statement verdicts.
 SAMPLE, RATIO, SHIFT_MS, SLOW_MS = 30, 3.0, 300.0, 3000.0
 FAIL_COUNT, FAIL_RATE, FAIL_SHIFT, FAIL_POINTS = 5, 0.05, 2.0, 0.10
+REJECT_COUNT, REJECT_SHIFT, REJECT_POINTS = 20, 2.0, 0.10
 SLOWER, FASTER, CHRONIC, POLLS = 3.0, 1 / 3, 0.9, 3
 
 
@@ -19,27 +20,40 @@ def breakdown(spans: DataFrame, keys: list[str]) -> DataFrame:
     rows = spans.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct("trace_id", "span_id")).alias("unique_n"),
         F.count_if(F.col("parent_span_id").isNull()).alias("roots"), F.max("duration_ms").alias("max_ms"), F.sum("duration_ms").alias("total_ms"),
-        F.count_if(F.col("status") == "ERROR").alias("failed"),
+        F.count_if(F.col("status") == "ERROR").alias("failed"), F.count("code").alias("coded"),
+        F.count_if((F.col("code") >= 400) & (F.col("code") < 500)).alias("rejected"),
         F.max_by("trace_id", F.struct("duration_ms", "trace_id")).alias("slowest_trace"),
     )
     return rows.join(quantiles(spans, keys, "duration_ms", {"p50": 0.5, "p95": 0.95}), keys, "left")
 
 
-def verdict_arms(current: DataFrame, baseline: DataFrame, keys: list[str]) -> DataFrame:
-    """The arms that fire for each endpoint of enough calls; the others have none."""
-    c = current.select(*keys, "n", "unique_n", "p50", "p95", "failed")
-    b = baseline.select(*keys, *[F.col(x).alias(f"b_{x}") for x in ("unique_n", "p50", "p95", "failed", "n")])
-    rate, before = F.col("failed") / F.col("n"), F.col("b_failed") / F.col("b_n")
-    known = F.col("b_unique_n") >= SAMPLE
+def verdict_arms(current: DataFrame, baseline: DataFrame, keys: list[str], compared: bool = True) -> DataFrame:
+    """The arms that fire for each endpoint of enough calls; the others have none. ``keys`` hold ``kind``.
+
+    Failures are told by unique spans, rejections by calls with a code. Only what is called from outside (SERVER, CONSUMER) can be slower
+    by ratio, as batches of an inner part differ in size; errors of frameworks count by their change only. An endpoint that was mostly
+    rejected before can't double, so its remaining share may also halve. ``base_state``: ok, insufficient_samples, or unavailable where
+    there is no window to compare with (``compared`` false).
+    """
+    c = current.select(*keys, "n", "unique_n", "p50", "p95", "failed", "coded", "rejected")
+    b = baseline.select(*keys, *[F.col(x).alias(f"b_{x}") for x in ("unique_n", "p50", "p95", "failed", "coded", "rejected")])
+    share = lambda n, of: F.when(F.col(of) > 0, F.col(n) / F.col(of)).otherwise(0.0)
+    rate, before = share("failed", "unique_n"), share("b_failed", "b_unique_n")
+    refused, refused_before = share("rejected", "coded"), share("b_rejected", "b_coded")
+    known = (F.col("b_unique_n") >= SAMPLE) & F.lit(compared)
+    outer, by_code = F.col("kind").isin("SERVER", "CONSUMER"), F.col("kind").isin("SERVER", "CLIENT")
+    shut = (refused >= REJECT_SHIFT * refused_before) | (1 - refused <= (1 - refused_before) / REJECT_SHIFT)
     arms = F.array_compact(F.array(
-        F.when(known & (F.col("p50") >= RATIO * F.col("b_p50")) & (F.col("b_p50") > 0), "latency_ratio"),
-        F.when(known & (F.col("p95") >= RATIO * F.col("b_p95")) & (F.col("p95") - F.col("b_p95") >= SHIFT_MS), "latency_shift"),
+        F.when(known & outer & (F.col("b_p50") > 0) & (F.col("p50") >= RATIO * F.col("b_p50")), "latency_ratio"),
+        F.when(known & (F.col("b_p95") > 0) & (F.col("p95") >= RATIO * F.col("b_p95")) & (F.col("p95") >= SHIFT_MS), "latency_shift"),
         F.when(F.col("p95") >= SLOW_MS, "latency_magnitude"),
-        F.when((F.col("failed") >= FAIL_COUNT) & (rate >= FAIL_RATE), "failure_magnitude"),
-        F.when(known & (rate >= FAIL_SHIFT * before) & (rate - before >= FAIL_POINTS), "failure_shift"),
+        F.when(by_code & (F.col("failed") >= FAIL_COUNT) & (rate >= FAIL_RATE), "failure_magnitude"),
+        F.when(known & (F.col("failed") >= FAIL_COUNT) & (rate >= FAIL_SHIFT * before) & (rate - before >= FAIL_POINTS), "failure_shift"),
+        F.when(known & by_code & (F.col("rejected") >= REJECT_COUNT) & (refused - refused_before >= REJECT_POINTS) & shut, "rejection_shift"),
     ))
     rows = c.join(b, keys, "left")
     state = F.when(F.col("unique_n") < SAMPLE, "insufficient_sample").when(F.size("arms") > 0, "anomalous").otherwise("normal")
+    rows = rows.withColumn("base_state", F.when(F.lit(not compared), "unavailable").when(F.col("b_unique_n") >= SAMPLE, "ok").otherwise("insufficient_samples"))
     return rows.withColumn("arms", F.when(F.col("unique_n") >= SAMPLE, arms).otherwise(F.array().cast("array<string>"))).withColumn("verdict", state)
 
 

@@ -19,12 +19,12 @@ d as (select *, case when kind = 'SERVER' then 'http.route' when kind in ('CONSU
   when label like 'db %' then 'db_call' when label like 'http %' then 'http_call' else 'peer' end as axis from d0)"""
 
 
-@PLANS.add(f"""with {DESCRIBED}, a as (select section, kind, label, axis, count(*) as n, count(*) filter (parent_span_id is null) as root_n, count(*) filter (code >= 500) as http_5xx, count(*) filter (code between 400 and 499) as http_4xx,
+@PLANS.add(f"""with {DESCRIBED}, a as (select section, kind, label, axis, count(*) as n, count(distinct (trace_id, span_id)) as unique_n, count(*) filter (parent_span_id is null) as root_n, count(*) filter (code >= 500) as http_5xx, count(*) filter (code between 400 and 499) as http_4xx,
   count(code) as http_n, count(*) filter (code is null and status = 'ERROR') as err_nohttp, count(*) filter (status = 'ERROR') as status_err, count(error) as labelled, min(target_id) as target_id from d group by all),
 f as (select *, case when kind = 'SERVER' or axis = 'http_call' then http_5xx + err_nohttp else status_err end as failed_n, case when kind = 'SERVER' or axis = 'http_call' then http_4xx else -1 end as rejected_n from a)
-select section, kind, label, axis, n, root_n, http_5xx, http_4xx, http_n, err_nohttp, status_err, target_id, failed_n, rejected_n,
+select section, kind, label, axis, n, unique_n, root_n, http_5xx, http_4xx, http_n, err_nohttp, status_err, target_id, failed_n, rejected_n,
   case when failed_n = 0 and rejected_n <= 0 and labelled = 0 then 'none' when kind = 'SERVER' then 'http_server' when axis = 'db_call' then 'db' when kind = 'CLIENT' then 'http_client' else 'framework' end as semantics,
-  round(failed_n / n, 6) as failed_rate, round(case when rejected_n >= 0 and http_n > 0 then rejected_n / http_n else 0 end, 6) as rejected_rate from f""")
+  round(failed_n / unique_n, 6) as failed_rate, round(case when rejected_n >= 0 and http_n > 0 then rejected_n / http_n else 0 end, 6) as rejected_rate from f""")
 def endpoint_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(op.totals(v.calls(spark, sf_dir)))
 

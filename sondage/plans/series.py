@@ -142,8 +142,8 @@ walk as (select name, bucket, i, v as kept, false as moved from w where i = 1
   from walk join w on walk.name = w.name and w.i = walk.i + 1)"""
 
 
-@PLANS.add(f"""{WALK}, c as (select name, count(*) filter (moved) as changes from walk group by name), s as (select name, count(*) as n, min(bucket) as first_at, max(bucket) as last_at, arg_max(v, bucket) as last_value from w group by name)
-select name, n, first_at, last_at, last_value, changes, case when changes > 0 then 'changed' when n * 10 < 360 then 'unknown_sparse' else 'observed_constant' end as stability from s join c using (name)""")
+@PLANS.add(f"""{WALK}, moves as (select name, count(*) filter (moved) as changes from walk group by name), seen as (select name, count(*) as n, min(bucket) as first_at, max(bucket) as last_at, arg_max(v, bucket) as last_value from w group by name)
+select name, n, first_at, last_at, last_value, changes, case when changes > 0 then 'changed' when n * 10 < 360 then 'unknown_sparse' else 'observed_constant' end as stability from seen join moves using (name)""")
 def limit_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, b = windows(spark, sf_dir)
     return op.stability(c.unionByName(b).withColumn("value", F.round(F.col("value") / 20)), 120)

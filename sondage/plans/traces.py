@@ -16,7 +16,7 @@ BASE, MIDDLE, END = "1994-01-01", "1995-01-01", "1996-01-01"
 KEYS = ["service", "kind", "route"]
 AGG = """count(*) as n, count(distinct (trace_id, span_id)) as unique_n, count(*) filter (parent_span_id is null) as roots,
   quantile_cont(duration_ms, 0.5) as p50, quantile_cont(duration_ms, 0.95) as p95, max(duration_ms) as max_ms, sum(duration_ms) as total_ms,
-  count(*) filter (status = 'ERROR') as failed, arg_max(trace_id, {'d': duration_ms, 't': trace_id}) as slowest_trace"""
+  count(*) filter (status = 'ERROR') as failed, count(code) as coded, count(*) filter (code >= 400 and code < 500) as rejected, arg_max(trace_id, {'d': duration_ms, 't': trace_id}) as slowest_trace"""
 WINDOWS = f"""with {t.SPANS}, c as (select service, kind, route, {AGG} from spans where ts >= timestamp '{MIDDLE}' and ts < timestamp '{END}' group by 1, 2, 3),
 b as (select service, kind, route, {AGG} from spans where ts >= timestamp '{BASE}' and ts < timestamp '{MIDDLE}' group by 1, 2, 3)"""
 SHOWN = "service, kind, route, n, unique_n, roots, round(p50, 6) as p50, round(p95, 6) as p95, round(max_ms, 6) as max_ms, round(total_ms, 4) as total_ms, failed, slowest_trace"
@@ -32,24 +32,28 @@ def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @PLANS.add(f"{WINDOWS} select {SHOWN} from c")
 def endpoint_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = op.breakdown(series.within(t.spans(spark, sf_dir), MIDDLE, END), KEYS)
-    return rounded(rows.withColumn("total_ms", F.round("total_ms", 4)))
+    return rounded(rows.drop("coded", "rejected").withColumn("total_ms", F.round("total_ms", 4)))
 
 
-ARMS = """v as (select c.*, list_filter([
-  case when b.unique_n >= 30 and c.p50 >= 3 * b.p50 and b.p50 > 0 then 'latency_ratio' end,
-  case when b.unique_n >= 30 and c.p95 >= 3 * b.p95 and c.p95 - b.p95 >= 300 then 'latency_shift' end,
-  case when c.p95 >= 3000 then 'latency_magnitude' end,
-  case when c.failed >= 5 and c.failed / c.n >= 0.05 then 'failure_magnitude' end,
-  case when b.unique_n >= 30 and c.failed / c.n >= 2 * (b.failed / b.n) and c.failed / c.n - b.failed / b.n >= 0.1 then 'failure_shift' end], lambda x: x is not null) as fired
+ARMS = """j as (select c.*, coalesce(b.unique_n, 0) >= 30 as known, b.p50 as b_p50, b.p95 as b_p95, c.failed / c.unique_n as rate, b.failed / b.unique_n as b_rate,
+  case when c.coded > 0 then c.rejected / c.coded else 0 end as refused, case when b.coded > 0 then b.rejected / b.coded else 0 end as b_refused
   from c left join b on c.service = b.service and c.kind = b.kind and c.route = b.route),
-a as (select service, kind, route, n, case when unique_n >= 30 then fired else [] end as arms,
+v as (select *, list_filter([
+  case when known and kind in ('SERVER', 'CONSUMER') and b_p50 > 0 and p50 >= 3 * b_p50 then 'latency_ratio' end,
+  case when known and b_p95 > 0 and p95 >= 3 * b_p95 and p95 >= 300 then 'latency_shift' end,
+  case when p95 >= 3000 then 'latency_magnitude' end,
+  case when kind in ('SERVER', 'CLIENT') and failed >= 5 and rate >= 0.05 then 'failure_magnitude' end,
+  case when known and failed >= 5 and rate >= 2 * b_rate and rate - b_rate >= 0.1 then 'failure_shift' end,
+  case when known and kind in ('SERVER', 'CLIENT') and rejected >= 20 and refused - b_refused >= 0.1 and (refused >= 2 * b_refused or 1 - refused <= (1 - b_refused) / 2) then 'rejection_shift' end
+  ], lambda x: x is not null) as fired from j),
+a as (select service, kind, route, n, case when unique_n >= 30 then fired else [] end as arms, case when known then 'ok' else 'insufficient_samples' end as base_state,
   case when unique_n < 30 then 'insufficient_sample' when len(fired) > 0 then 'anomalous' else 'normal' end as verdict from v)"""
 
 
-@PLANS.add(f"{WINDOWS}, {ARMS} select service, kind, route, n, array_to_string(arms, ',') as arms, verdict from a")
+@PLANS.add(f"{WINDOWS}, {ARMS} select service, kind, route, n, array_to_string(arms, ',') as arms, base_state, verdict from a")
 def endpoint_verdict_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = op.verdict_arms(*_two(spark, sf_dir), KEYS)
-    return rows.select(*KEYS, "n", F.array_join("arms", ",").alias("arms"), "verdict")
+    return rows.select(*KEYS, "n", F.array_join("arms", ",").alias("arms"), "base_state", "verdict")
 
 
 @PLANS.add(f"""{WINDOWS}, {ARMS}, r as (select *, row_number() over (partition by kind order by case verdict when 'anomalous' then 0 when 'normal' then 1 else 2 end, n desc, route, service) as rank from a)

@@ -29,7 +29,7 @@ METRICS = """metrics as (select ts, event_type as name, (user_id % 10)::varchar
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ts, trace_id, span_id, parent_span_id, service, kind, status, duration_ms, label, route"""
+    """ts, trace_id, span_id, parent_span_id, service, kind, status, duration_ms, label, route, code"""
     line, orders, supplier, nation = (read_table(spark, sf_dir, t) for t in ("lineitem", "orders", "supplier", "nation"))
     at = line.join(supplier, line["l_suppkey"] == supplier["s_suppkey"]).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     at = at.join(orders.select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -41,13 +41,15 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", "ERROR").otherwise("OK").alias("status"),
         (F.col("l_extendedprice") / 100).alias("duration_ms"), F.col("o_orderpriority").alias("label"),
         F.concat(F.lit("/"), F.lower("l_returnflag"), F.lit("/"), text(F.col("l_partkey") % 5)).alias("route"),
+        F.when(F.col("l_returnflag") == "R", 500).when(F.col("l_tax") >= 0.06, 404).otherwise(200).alias("code"),
     )
 
 
 SPANS = """spans as (select l_shipdate as ts, l_orderkey as trace_id, l_linenumber::bigint as span_id,
   case when l_linenumber > 1 then l_linenumber::bigint - 1 end as parent_span_id, n_name as service,
   case when l_linestatus = 'O' then 'SERVER' else 'CLIENT' end as kind, case when l_returnflag = 'R' then 'ERROR' else 'OK' end as status,
-  l_extendedprice / 100 as duration_ms, o_orderpriority as label, '/' || lower(l_returnflag) || '/' || (l_partkey % 5)::varchar as route
+  l_extendedprice / 100 as duration_ms, o_orderpriority as label, '/' || lower(l_returnflag) || '/' || (l_partkey % 5)::varchar as route,
+  case when l_returnflag = 'R' then 500 when l_tax >= 0.06 then 404 else 200 end as code
   from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join orders on l_orderkey = o_orderkey)"""
 
 
