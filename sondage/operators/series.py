@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sondage.functions import ranked
+from sondage.functions import quantiles, ranked
 from sondage.sources import discard, durable
 
 #: Thresholds of the comparisons.
@@ -49,10 +49,11 @@ def increases(series: DataFrame, key: str = "name") -> DataFrame:
 
 
 def robust_stats(series: DataFrame, key: str = "name") -> DataFrame:
-    """n, median, mad, scale (largest absolute value) of each series."""
-    med = series.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.median("value").alias("med"), F.max(F.abs("value")).alias("scale"))
-    dev = series.join(med.select(key, "med"), key).groupBy(key).agg(F.median(F.abs(F.col("value") - F.col("med"))).alias("mad"))
-    return med.join(dev, key)
+    """n, median, mad, scale (largest absolute value) of each series; medians are exact, and no series is held in memory."""
+    top = series.groupBy(key).agg(F.count("value").alias("n"), F.max(F.abs("value")).alias("scale"))
+    med = quantiles(series, [key], "value", {"med": 0.5})
+    apart = series.join(med, key).withColumn("__apart", F.abs(F.col("value") - F.col("med")))
+    return top.join(med, key).join(quantiles(apart, [key], "__apart", {"mad": 0.5}), key).select(key, "n", "med", "scale", "mad")
 
 
 def classify(current: DataFrame, baseline: DataFrame, expected_base: int, shifted: float = Z_SHIFTED, key: str = "name") -> DataFrame:

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from sondage.functions import quantiles
 from sondage.operators import episodes, feeds, series
 
 DAY = datetime(2024, 1, 1)
@@ -96,3 +97,19 @@ def test_nearest_of_one_busy_key(spark):
     began = time.time()
     got = feeds.nearest(asked, asked.filter("id % 10 = 0").select("k", "ts"), "k").filter("captured <> ts").count()
     assert got == 18_000 and time.time() - began < 20
+
+
+def test_quantiles_of_a_hot_group_lie_in_many_ranges(spark):
+    rng = random.Random(9)
+    rows = [("hot", float(rng.randrange(4000))) for _ in range(9000)] + [("few", 1.0), ("few", 2.0), ("one", 5.0), ("void", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: (r.a, r.b, r.c) for r in quantiles(df, ["k"], "v", {"a": 0.5, "b": 0.95, "c": 0.0}).collect()}
+    hot = sorted(v for k, v in rows if k == "hot")
+    between = lambda q: hot[int(q * 8999)] + (hot[min(int(q * 8999) + 1, 8999)] - hot[int(q * 8999)]) * (q * 8999 % 1)
+    assert got == {"hot": (pytest.approx(between(0.5)), pytest.approx(between(0.95)), hot[0]), "few": (1.5, pytest.approx(1.95), 1.0), "one": (5.0, 5.0, 5.0)}
+
+
+def test_robust_stats_by_hand(spark):
+    df = spark.createDataFrame([("a", float(v)) for v in (1, 2, 4, 8, -20)] + [("b", 3.0)], "name string, value double")
+    got = {r.name: (r.n, r.med, r.scale, r.mad) for r in series.robust_stats(df).collect()}
+    assert got == {"a": (5, 2.0, 20.0, 2.0), "b": (1, 3.0, 3.0, 0.0)}
