@@ -77,6 +77,51 @@ def resolve(asked: DataFrame, records: DataFrame, scopes: DataFrame) -> DataFram
     return rows.select("target_id", "metric", state.alias("resolution"))
 
 
+#: The axes of an observation's key, and what stands for any value of metric or entity_key in a scope.
+KEY = ["source", "target_id", "aspect", "metric", "entity_key", "window"]
+ANY = "*"
+
+
+def canonical_keys(rows: DataFrame) -> DataFrame:
+    """``rows`` with spellings of their keys folded; a missing axis is empty."""
+    return rows.withColumns({c: canonical(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in KEY})
+
+
+def resolve_keys(asked: DataFrame, records: DataFrame, scopes: DataFrame) -> DataFrame:
+    """asked(id, KEY) by records(eid, KEY, availability), else by the scopes(eid, KEY, availability, complete) that cover the key.
+
+    ``resolution`` is entity (one record), ambiguous (more), scope, scope_incomplete (a covering scope was cut), or unmeasured; a key without
+    an entity takes the records of every entity. ``availability`` is the record's; of covering scopes the first one's (by eid) that is
+    missing or not_applicable, else observed_zero if all are so, else observed.
+
+    A scope's metric or entity_key may be ``*``. So a key has four patterns, and covering is an equi-join of these with the scopes, which are
+    added up by pattern before they are shuffled; no range or OR is joined.
+    """
+    asked, records, scopes = canonical_keys(asked).select("id", *KEY), canonical_keys(records), canonical_keys(scopes)
+    n, one = F.count(F.lit(1)).alias("n"), F.min("availability").alias("own")
+    exact = records.groupBy(*KEY).agg(n, one)
+    loose = [c for c in KEY if c != "entity_key"]
+    whole = F.col("entity_key").isin("", ANY)
+    hits = asked.filter(~whole).join(exact, KEY).select("id", "n", "own")
+    hits = hits.unionByName(asked.filter(whole).join(records.groupBy(*loose).agg(n, one), loose).select("id", "n", "own"))
+    a = F.col("availability")
+    unusable = F.min(F.when(a.isin("missing", "not_applicable"), F.struct("eid", "availability")))
+    pattern = scopes.groupBy(*KEY).agg(F.bool_and("complete").alias("complete"), F.bool_and(a == "observed_zero").alias("zero"), unusable.alias("unusable"))
+    open_ = asked.withColumns({"metric": F.explode(F.array_distinct(F.array("metric", F.lit(ANY))))})
+    open_ = open_.withColumns({"entity_key": F.explode(F.array_distinct(F.array("entity_key", F.lit(ANY))))})
+    covers = open_.join(pattern, KEY).groupBy("id").agg(
+        F.bool_and("complete").alias("complete"), F.bool_and("zero").alias("zero"), F.min("unusable")["availability"].alias("unusable")
+    )
+    rows = asked.join(hits, "id", "left").join(covers, "id", "left")
+    state = (
+        F.when(F.col("n") == 1, "entity").when(F.col("n") > 1, "ambiguous").when(F.col("complete"), "scope")
+        .when(~F.col("complete"), "scope_incomplete").otherwise("unmeasured")
+    )
+    of_scope = F.coalesce("unusable", F.when(F.col("zero"), "observed_zero").otherwise("observed"))
+    seen = F.when(state == "entity", F.col("own")).when(state == "scope", of_scope)
+    return rows.select("id", state.alias("resolution"), seen.alias("availability"))
+
+
 def truth(rows: DataFrame) -> DataFrame:
     """rows(id, predicate, threshold, availability, magnitude, direction) to truth and status."""
     p, a, m = F.col("predicate"), F.col("availability"), F.col("magnitude")

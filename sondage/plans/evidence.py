@@ -71,6 +71,34 @@ def scope_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.resolve(asked, r, scopes)
 
 
+KEYED = """with k as (select l_orderkey * 8 + l_linenumber as eid, 'v' || l_linenumber::varchar as source, (l_suppkey % 10)::varchar as target_id, l_returnflag as aspect, 'm' || (l_orderkey % 4)::varchar as metric,
+  'e' || (l_partkey % 60)::varchar as entity_key, l_linestatus as win, l_discount, l_quantity, l_tax,
+  case when l_quantity < 3 then 'missing' when l_quantity < 20 then 'observed_zero' else 'observed' end as availability from lineitem),
+asked as (select distinct concat_ws('|', source, target_id, aspect, metric, entity_key, win) as id, source, target_id, aspect, metric, entity_key, win from k),
+r as (select * from k where l_tax < 0.02), s as (select eid, source, target_id, aspect, case when l_discount < 0.02 then '*' else metric end as metric, case when l_discount > 0.08 then '*' else entity_key end as entity_key, win, availability,
+  l_quantity % 7 > 0 as complete from k where l_tax >= 0.02)"""
+
+
+@PLANS.add(f"""{KEYED}, h as (select a.id, count(*) as n, min(availability) as own from asked a join r using (source, target_id, aspect, metric, entity_key, win) group by a.id),
+c as (select a.id, bool_and(complete) as complete, bool_and(availability = 'observed_zero') as zero, arg_min(availability, s.eid) filter (availability = 'missing') as unusable from asked a join s
+  on a.source = s.source and a.target_id = s.target_id and a.aspect = s.aspect and a.win = s.win and (s.metric = '*' or s.metric = a.metric) and (s.entity_key = '*' or s.entity_key = a.entity_key) group by a.id),
+x as (select a.id, own, zero, unusable, case when n = 1 then 'entity' when n > 1 then 'ambiguous' when complete then 'scope' when not complete then 'scope_incomplete' else 'unmeasured' end as resolution
+  from asked a left join h on a.id = h.id left join c on a.id = c.id)
+select id, resolution, case resolution when 'entity' then own when 'scope' then coalesce(unusable, case when zero then 'observed_zero' else 'observed' end) end as availability from x""")
+def scope_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = t.read_table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey * 8 + l_linenumber as eid", "concat('v', l_linenumber) as source", "cast(l_suppkey % 10 as string) as target_id", "l_returnflag as aspect", "concat('m', l_orderkey % 4) as metric",
+        "concat('e', l_partkey % 60) as entity_key", "l_linestatus as window", "l_discount", "l_quantity", "l_tax",
+        "case when l_quantity < 3 then 'missing' when l_quantity < 20 then 'observed_zero' else 'observed' end as availability",
+    )
+    asked = k.select(*op.KEY).distinct().withColumn("id", F.concat_ws("|", *op.KEY))
+    scopes = k.filter("l_tax >= 0.02").withColumns({
+        "metric": F.when(F.col("l_discount") < 0.02, op.ANY).otherwise(F.col("metric")), "complete": F.col("l_quantity") % 7 > 0,
+        "entity_key": F.when(F.col("l_discount") > 0.08, op.ANY).otherwise(F.col("entity_key")),
+    })
+    return op.resolve_keys(asked, k.filter("l_tax < 0.02"), scopes)
+
+
 PREDICATES = f"""{RECORDS}, p as (select *, ['present', 'absent', 'magnitude_ge', 'magnitude_lt', 'direction_up', 'direction_down'][(event_id % 6)::int + 1] as predicate, case when event_id % 19 > 0 then 50.0 end as threshold from r),
 q as (select *, case when availability = 'missing' then 'missing' when predicate like 'magnitude%' and magnitude is null then 'no_magnitude' when predicate like 'magnitude%' and threshold is null then 'no_threshold'
   when predicate like 'direction%' and direction = 'n/a' then 'no_direction' else 'ok' end as status,

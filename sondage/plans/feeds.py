@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,7 +117,7 @@ def metric_label_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.label_values(t.metrics(spark, sf_dir), "dim", datetime(2024, 1, 3), datetime(2024, 1, 20))
 
 
-@PLANS.add(f"""with {t.CHANGES} select id, "at", target_id, "at" > '1999-06-01' as late from changes where "at" < '1999-09-01' and target_id in (select c_custkey from customer where c_acctbal < 0)""")
+@PLANS.add(f"""with {t.CHANGES} select id, "at", target_id, "at" > '1999-06-01' as late from changes where "at" >= '1998-06-01' and "at" < '1999-09-01' and target_id in (select c_custkey from customer where c_acctbal < 0)""")
 def change_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = t.read_table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("target_id"))
-    return op.scanned_changes(t.changes(spark, sf_dir), members, datetime(1999, 6, 1), datetime(1999, 9, 1)).select("id", "at", "target_id", "late")
+    return op.scanned_changes(t.changes(spark, sf_dir), members, datetime(1999, 6, 1), datetime(1999, 9, 1), timedelta(days=365)).select("id", "at", "target_id", "late")
