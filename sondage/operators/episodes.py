@@ -68,28 +68,6 @@ def fold_changes(rows: DataFrame) -> DataFrame:
     return variant.groupBy("category", "target_id", "second").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("variants"))
 
 
-def pair_unique(left: DataFrame, right: DataFrame, seconds: int) -> DataFrame:
-    """left(id, at, key) against right(id, at, key) within +-seconds: unmatched, unique_inferred or ambiguous.
-
-    Both sides are sorted together by key and stretch of time, a right row also lying in the next stretch if it reaches into it. Matches
-    are the right rows up to the end of a row's band less those before its start, and the last of them is the partner if it is the
-    only one; so no pairs are made, and a hot key is split by time.
-    """
-    at = F.unix_seconds(F.col("at").cast("timestamp"))
-    stretch = lambda t: F.floor(t / (seconds * STRETCH)).cast("long")
-    mine = left.select("id", "key", at.alias("t"), F.lit(None).cast(right.schema["id"].dataType).alias("rid"), F.lit(True).alias("asks"), stretch(at).alias("stretch"))
-    theirs = right.select(
-        F.lit(None).cast(left.schema["id"].dataType).alias("id"), "key", at.alias("t"), F.col("id").alias("rid"), F.lit(False).alias("asks"),
-        F.explode(F.array_distinct(F.array(stretch(at - seconds), stretch(at + seconds)))).alias("stretch"),
-    )
-    by = W.partitionBy("key", "stretch").orderBy("t")
-    until = by.rangeBetween(W.unboundedPreceding, seconds)
-    n = F.count("rid").over(until) - F.count("rid").over(by.rangeBetween(W.unboundedPreceding, -seconds - 1))
-    met = mine.unionByName(theirs).withColumns({"n": n, "partner": F.last("rid", ignorenulls=True).over(until)}).filter("asks")
-    state = F.when(F.col("n") == 0, "unmatched").when(F.col("n") == 1, "unique_inferred").otherwise("ambiguous")
-    return met.select("id", F.when(F.col("key").isNull() | F.col("t").isNull(), "unmatched").otherwise(state).alias("pairing"), F.when((F.col("n") == 1) & F.col("key").isNotNull() & F.col("t").isNotNull(), F.col("partner")).alias("partner"))
-
-
 def _claims(left: DataFrame, right: DataFrame, seconds: int) -> DataFrame:
     """One round of :func:`pair_consumed`: id, pairing and partner of the left rows that no earlier open row can change any more.
 

@@ -35,7 +35,7 @@ def test_upper_median(spark):
 def test_pairing(spark):
     left = spark.sql("select * from values (1, timestamp_ntz'2024-01-01 00:00:10', 'k'), (2, timestamp_ntz'2024-01-01 01:00:00', 'k'), (3, timestamp_ntz'2024-01-02', 'k') t(id, at, key)")
     right = spark.sql("select * from values (7, timestamp_ntz'2024-01-01 00:00:12', 'k'), (8, timestamp_ntz'2024-01-01 01:00:01', 'k'), (9, timestamp_ntz'2024-01-01 00:59:58', 'k') t(id, at, key)")
-    got = {r.id: (r.pairing, r.partner) for r in episodes.pair_unique(left, right, 2).collect()}
+    got = {r.id: (r.pairing, r.partner) for r in episodes.pair_consumed(left, right, 2).collect()}
     assert got == {1: ("unique_inferred", 7), 2: ("ambiguous", None), 3: ("unmatched", None)}
 
 
