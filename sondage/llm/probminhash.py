@@ -12,10 +12,11 @@ Signatures are cut into ``BANDS`` x ``ROWS``; texts that share a band form a gro
    on all their shingles (J_P >= 0.8, on 32-bit hashes). Verified links form components; a group within one component is done.
 2. In a group of several components in which at most ``FEW`` texts lie outside the largest one, those are compared with all
    members of other components.
-3. The members of any larger group meet again in narrower groups: those that have a shingle in common which their leader doesn't
-   have (``APART`` such shingles of each, least hashes first). Texts similar to each other but not to their leader differ from it
-   in the same places. The leader itself is gone, so the groups shrink; from step 1 on until none is left. After ``DEPTH`` rounds,
-   what is left is compared as in step 2, whatever its size.
+3. The members of any larger group meet again in narrower groups: those that differ from their leader in the same place, by the
+   ``APART`` least of its places (``differences``: copies of shingles that the text has beyond the leader's; for a part of the leader
+   also those that it lacks). Texts similar to each other but not to their leader differ from it in the same places, in their counts as
+   well. The leader itself is gone, so the groups shrink; from step 1 on until none is left. After ``DEPTH`` rounds, what is left is
+   compared as in step 2, whatever its size.
 
 Classes are the connected components. At J_P = 0.8 two texts miss all bands with probability 3e-5.
 
@@ -49,7 +50,7 @@ SLOTS = ROWS * BANDS
 BYTES_AT_ONCE = 1_000_000
 #: Groups with at most so many texts outside their largest component are compared in full.
 FEW = 16
-#: So many shingles that its leader lacks name a text's narrower groups.
+#: So many places where it differs from its leader name a text's narrower groups.
 APART = 16
 DEPTH = 3
 #: A table of so many rows (a few numbers each) is broadcast; any larger one is shuffled.
@@ -132,12 +133,21 @@ def unpack(b: bytes) -> tuple[np.ndarray, np.ndarray]:
     return k, np.ones(len(k))
 
 
+def aligned(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The elements of two bags, sorted, and their counts in each."""
+    keys, back = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+    x, y = (np.bincount(r, w, len(keys)) for r, w in ((back[: len(a[0])], a[1]), (back[len(a[0]) :], b[1])))
+    return keys, x, y
+
+
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Sum over common elements i of 1 / sum_j max(a_j / a_i, b_j / b_i)."""
-    keys, back = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
-    if not len(keys):
+    return _jaccard(*aligned(a, b)[1:])
+
+
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    if not len(x):
         return 1.0
-    x, y = (np.bincount(r, w, len(keys)) for r, w in ((back[: len(a[0])], a[1]), (back[len(a[0]) :], b[1])))
     both = (x > 0) & (y > 0)
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = x / y  # infinite where only a has the element
@@ -148,6 +158,33 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((1 / (ysum[at] / y[both] + xsum[at] / x[both])).sum())
 
 
+def _copies(keys: np.ndarray, low: np.ndarray, high: np.ndarray, side: int) -> np.ndarray:
+    """The ``APART`` least hashes of (shingle, number of its copy) for the copies from ``low`` up to ``high``."""
+    n = np.maximum(high - low, 0).astype(np.int64)
+    i = np.arange(n.sum()) + np.repeat(low.astype(np.int64) - (np.cumsum(n) - n), n)
+    h = mix(np.repeat(keys, n).astype(np.uint64) << U(32) | i.astype(np.uint64) << U(1) | U(side))
+    return np.sort(h)[:APART]
+
+
+def differences(keys: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Names of where a text (counts ``y``) differs from its leader (counts ``x``).
+
+    They are the least copies of shingles that it has beyond the leader's; and, where it lacks at least twice as much as it has beyond
+    (a part of its leader), the least copies it lacks. Counts are compared after dividing by the median ratio of the common shingles,
+    as J_P knows shares only: a text and its double differ in nothing.
+    """
+    both = (x > 0) & (y > 0)
+    if both.any():
+        ratio = y[both] / x[both]
+        middle = np.partition(ratio, (len(ratio) - 1) // 2)[(len(ratio) - 1) // 2]
+        y = np.rint(y / middle)
+    more, less = np.maximum(y - x, 0).sum(), np.maximum(x - y, 0).sum()
+    found = _copies(keys, x, y, 0)
+    if less >= 2 * more:
+        found = np.concatenate([found, _copies(keys, y, x, 1)])
+    return (found >> U(32)).astype(np.uint32)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
@@ -192,10 +229,9 @@ def _small(df: DataFrame, n: int) -> DataFrame:
 
 
 def compare(leader: bytes, text: bytes) -> tuple[bool, list[int]]:
-    """Whether two bags are similar, and the ``APART`` least hashes that only the second one has."""
-    p, q = unpack(leader), unpack(text)
-    apart = q[0][~np.isin(q[0], p[0], assume_unique=False)]  # sorted
-    return probability_jaccard(p, q) >= SIMILAR - 1e-9, apart[:APART].view(np.int32).tolist()
+    """Whether two bags are similar, and the names of where the second one differs."""
+    keys, x, y = aligned(unpack(leader), unpack(text))
+    return _jaccard(x, y) >= SIMILAR - 1e-9, differences(keys, x, y).view(np.int32).tolist()
 
 
 @F.pandas_udf(StructType().add("similar", "boolean").add("apart", ArrayType(IntegerType())))
@@ -278,7 +314,7 @@ def links(texts: DataFrame) -> DataFrame:
         across = _verify(_across(mixed.filter(light)).join(known, ["a", "b"], "left_anti"), texts)
         more = across.filter("similar").select("a", "b")
         found.append(more)
-        # texts that differ in the same shingle from the same leader, of each text's leaders the one that meets most others
+        # texts that differ in the same place from the same leader, of each text's leaders the one that meets most others
         met = mixed.filter(~light & (F.col("key") != F.col("leader"))).groupBy("key")
         own = met.agg(F.max(F.struct("w", "leader")).alias("l")).select("key", "l.leader")
         own = own.join(judged.select(F.col("a").alias("leader"), F.col("b").alias("key"), "apart"), ["leader", "key"])

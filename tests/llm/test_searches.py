@@ -134,3 +134,35 @@ def test_own_scores_are_those_of_fit_and_score(spark):
     for parts in (1, 3):
         assert {r.doc_id: (r.n_words, r.n_backoff, r.log_score) for r in backoff_lm.score_own(docs, parts=parts).collect()} == want
     assert backoff_lm.score_own(docs.limit(0)).collect() == []
+
+
+def _repeated_blocks(pairs, seed):
+    """Pairs of similar texts of the same 16 blocks, each block some times over; texts of different pairs differ in the counts alone."""
+    rng = random.Random(seed)
+    block = [" ".join(f"b{b}w{i}" for i in range(12)) for b in range(16)]
+    rows = []
+    for _ in range(pairs):
+        n = [rng.choice((1, 1, 2, 3, 4)) for _ in block]
+        for _ in range(2):
+            rows.append((len(rows), " ".join(" ".join([block[b]] * n[b]) for b in range(16))))
+            b = rng.randrange(16)
+            n[b] = max(1, n[b] + rng.choice((-1, 1)))
+    return rows
+
+
+def _nested(n, seed):
+    """Texts that are parts of one long text: most are similar to a few others, hardly any to the whole."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, n):
+        long = rng.randrange(120, 300)
+        at = rng.randrange(400 - long)
+        rows.append((i, " ".join(words[at : at + long])))
+    return rows
+
+
+@pytest.mark.parametrize("rows", [_repeated_blocks(300, 5), _nested(250, 6)], ids=["repeated blocks", "nested"])
+def test_classes_of_texts_that_have_nothing_of_their_own(spark, rows):
+    got = {r.doc_id: r.class_id for r in probminhash.op10_probminhash(spark.createDataFrame(rows, KIND)).collect()}
+    assert [got[i] for i, _ in rows] == _classes(rows)
