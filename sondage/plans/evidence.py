@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sondage.operators import blind
 from sondage.operators import evidence as op
 from sondage.plans.base import Plans, rounded
 from sondage.sources import telemetry as t
@@ -172,3 +173,18 @@ def blind_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = t.read_table(spark, sf_dir, "conversations")
     text = F.concat(F.lit("a scenario-"), t.text("conv_id"), F.lit(" and case-"), t.text("turn"), F.lit("."))
     return k.select("conv_id", "turn", op.pseudonyms(text).alias("text"))
+
+
+@PLANS.add("""with x as (select event_id, event_type = 'error' as told, event_type || '-' || user_id::varchar as name, json(props)::varchar as props from events),
+y as (select *, '{"props":' || to_json(props)::varchar || ',"who":"opaque-' || substring(sha256('F12-A'), 1, 24) || ' seen"}' as raw from x)
+select event_id, '{"note":"' || case when told then '[experiment annotation withheld]' else 'plain' end || '","raw":' || to_json(raw)::varchar
+  || ',"target":"opaque-' || substring(sha256('scenario-' || name), 1, 24) || '"}' as clean,
+  2 as removed_fields, told::int as redacted_strings, 2 as opaque_identifiers from y""")
+def blind_filter_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes over all events, with JSON inside JSON inside JSON."""
+    e = t.read_table(spark, sf_dir, "events")
+    raw = F.to_json(F.struct(F.col("value").alias("golden"), "props", F.lit("F12-A seen").alias("who")))
+    target = F.concat(F.lit("scenario-"), "event_type", F.lit("-"), t.text("user_id"))
+    note = F.when(F.col("event_type") == "error", "command=inject F01-X").otherwise("plain")
+    envelope = F.to_json(F.struct(F.col("user_id").alias("case_id"), target.alias("target"), raw.alias("raw"), note.alias("note")))
+    return e.select("event_id", blind.blind_json(envelope).alias("b")).select("event_id", "b.*")
