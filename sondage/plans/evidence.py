@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sondage.operators import blind
 from sondage.operators import evidence as op
+from sondage.operators import json_forms
 from sondage.plans.base import Plans, rounded
 from sondage.sources import telemetry as t
 
@@ -188,3 +189,24 @@ def blind_filter_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     note = F.when(F.col("event_type") == "error", "command=inject F01-X").otherwise("plain")
     envelope = F.to_json(F.struct(F.col("user_id").alias("case_id"), target.alias("target"), raw.alias("raw"), note.alias("note")))
     return e.select("event_id", blind.blind_json(envelope).alias("b")).select("event_id", "b.*")
+
+
+@PLANS.add("""select event_id, 'PD-' || substring(sha256('{"a":' || user_id::varchar || ',"b":' || json(props)::varchar || '}'), 1, 12) as digest, true as same from events""")
+def params_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arguments of a call, written in two orders."""
+    e = t.read_table(spark, sf_dir, "events")
+    one = F.concat(F.lit('{ "b" : '), "props", F.lit(', "a": '), t.text("user_id"), F.lit("}"))
+    two = F.concat(F.lit('{"a":'), t.text("user_id"), F.lit(',"b":'), "props", F.lit("}"))
+    return e.select("event_id", json_forms.params_digest(one).alias("digest"), (json_forms.params_digest(one) == json_forms.params_digest(two)).alias("same"))
+
+
+@PLANS.add("""select l_orderkey, l_linenumber, '[{"cost":1.5,"filterPredicates":"' || repeat(l_returnflag, 200) || '…","id":' || l_linenumber::varchar || ',"operation":"SCAN"},{"id":'
+  || l_orderkey::varchar || ',"parentId":' || l_linenumber::varchar || '}]' as plan from lineitem""")
+def plan_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two nodes for each line, with fields that are null, empty, unknown or long."""
+    li = t.read_table(spark, sf_dir, "lineitem")
+    line, order = t.text("l_linenumber"), t.text("l_orderkey")
+    first = F.concat(F.lit('{"id":'), line, F.lit(',"parentId":null,"operation":"SCAN","x":1,"cost":1.5,"accessPredicates":"","filterPredicates":"'), F.repeat("l_returnflag", 201), F.lit('"}'))
+    second = F.concat(F.lit('{"parentId":'), line, F.lit(',"id":'), order, F.lit(',"options":null}'))
+    plan = json_forms.pruned_plan(F.concat(F.lit("["), first, F.lit(","), second, F.lit("]")))
+    return li.select("l_orderkey", "l_linenumber", plan.alias("plan"))
