@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from sondage.plans import blocking, edges, endpoints, evidence, feeds, inventory, ledger, logs, series, traces
+from sondage.plans import blocking, edges, endpoints, evidence, feeds, inventory, ledger, logs, series, topology, traces
 from sondage.plans.base import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (series, logs, traces, inventory, evidence, blocking, endpoints, edges, ledger, feeds):
+for module in (series, logs, traces, inventory, evidence, blocking, endpoints, edges, ledger, feeds, topology):
     QUERIES |= module.PLANS.queries
     ORACLE_SQL |= module.PLANS.sql
