@@ -106,8 +106,9 @@ def _true(tree: Column, path: str) -> Column:
     return F.coalesce((F.schema_of_variant(_variant(tree, path)) == "BOOLEAN") & F.try_variant_get(tree, "$." + path, "boolean"), F.lit(False))
 
 
-def _map(paths: list[str], value) -> Column:
-    return F.create_map(*[x for p in paths for x in (F.lit(p), value(p))])
+def _pick(key: Column, paths: list[str], get) -> Column:
+    """``get`` of the path that ``key`` names; the others are not read."""
+    return reduce(lambda w, p: w.when(key == p, get(p)), paths, F)
 
 
 def class_of(source: Column, tree: Column) -> Column:
@@ -154,14 +155,14 @@ def project(findings: DataFrame) -> DataFrame:
     table = F.broadcast(classes(spark).withColumnsRenamed({c: f"__{c}" for c in COLUMNS[3:]}))
     rows = f.join(table, ["source", "name"], "left")
     tree, target = F.col("tree"), F.coalesce("target_id", F.lit(""))
-    values = _map(_paths("observed", "baseline", "magnitude"), lambda p: _number(tree, p))
-    texts = _map(_paths("entity", "change_from", "change_to"), lambda p: _text(tree, p))
-    texts = F.map_concat(texts, F.create_map(
-        F.lit("$target"), target, F.lit("$own"), F.coalesce(F.nullif(_text(tree, "target_id"), F.lit("")), target),
-        F.lit("$hash"), F.coalesce(F.element_at(F.split(_text(tree, "refs[0]"), ":"), -1), F.lit("")),
-    ))
-    rows = rows.withColumns({"__values": values, "__texts": texts})
-    value = lambda c: F.element_at("__values", F.col(c))
+    paths = _paths("entity", "change_from", "change_to")
+
+    def text(key: Column) -> Column:
+        own = F.coalesce(F.nullif(_text(tree, "target_id"), F.lit("")), target)
+        digest = F.coalesce(F.element_at(F.split(_text(tree, "refs[0]"), ":"), -1), F.lit(""))
+        return _pick(key, paths, lambda p: _text(tree, p)).when(key == "$target", target).when(key == "$own", own).when(key == "$hash", digest)
+
+    value = lambda c: _pick(F.col(c), _paths(c.removeprefix("__")), lambda p: _number(tree, p))
     of_peers = F.col("source") == "compare_peers"
     seen = F.when(of_peers, _true(tree, "deviating").cast("double")).when(F.col("__observed") != "", value("__observed")).when(F.col("__kind") != "categorical", 1.0)
     rows = rows.withColumns({"observed": seen, "baseline": F.when(F.col("__baseline") != "", value("__baseline")), "__tool": value("__magnitude")})
@@ -188,10 +189,10 @@ def project(findings: DataFrame) -> DataFrame:
 
     def when(column: str, place: int) -> Column:
         """The first of the keys that holds a time; a key of an interval holds both, or none counts."""
-        both = F.split(F.element_at("__texts", F.lit("onset.interval")), "/")
+        both = F.split(_text(tree, "onset.interval"), "/")
         is_time = lambda x: F.try_to_timestamp(x).isNotNull()
         interval = F.when((F.size(both) == 2) & is_time(F.get(both, F.lit(0))) & is_time(F.get(both, F.lit(1))), F.get(both, F.lit(place)))
-        plain = F.get(F.filter(F.transform(column, lambda k: F.element_at("__texts", k)), is_time), F.lit(0))
+        plain = F.get(F.filter(F.transform(column, text), is_time), F.lit(0))
         return F.when(F.array_contains(column, "onset.interval"), interval).otherwise(plain)
 
     first = when("__change_from", 0)
@@ -202,7 +203,7 @@ def project(findings: DataFrame) -> DataFrame:
     return rows.filter(kept).select(
         "id", "source", "target_id", F.when(is_finding, "finding").otherwise("meta").alias("record_kind"), F.coalesce("class", "name").alias("class"),
         (~is_finding & ~known).alias("unknown"), F.col("__aspect").alias("aspect"), F.col("__kind").alias("kind"),
-        on(F.array_join(F.transform("__entity", lambda c: F.element_at("__texts", c)), "|")).alias("entity_key"),
+        on(F.array_join(F.transform("__entity", text), "|")).alias("entity_key"),
         on(F.coalesce(F.nullif("__metric", F.lit("")), _text(tree, "metric"))).alias("metric"), on(observed).alias("observed"), on(baseline).alias("baseline"),
         on(F.col("magnitude")).alias("magnitude"), on(F.col("direction")).alias("direction"), on(first).alias("change_from"),
         on(F.when(first.isNotNull(), when("__change_to", 1))).alias("change_to"), on(F.col("sample_n")).alias("sample_n"),
