@@ -73,10 +73,10 @@ def bind(supports: DataFrame, predictions: DataFrame, records: DataFrame) -> Dat
     """supports(candidate, eid) with a null ``reason`` where the eid is bound, else why it isn't.
 
     Bound: an active one of records(eid, KEY, active), named in the ``eid_hint`` of one of the candidate's predictions, with the key of the first
-    of those. A support that is named twice is bound once.
+    of those. A support that is named twice is bound once; of records with one eid, and of predictions with one seq, the least key counts.
     """
-    known = canonical_keys(records).select("eid", "active", F.struct(*KEY).alias("__key"))
-    hints = predictions.filter("eid_hint is not null").groupBy("candidate", F.col("eid_hint").alias("eid")).agg(F.min_by(F.struct(*KEY), "seq").alias("__hint"))
+    known = canonical_keys(records).groupBy("eid").agg(F.min(F.struct(F.struct(*KEY).alias("key"), "active")).alias("__r")).select("eid", "__r.active", F.col("__r.key").alias("__key"))
+    hints = predictions.filter("eid_hint is not null").groupBy("candidate", F.col("eid_hint").alias("eid")).agg(F.min(F.struct("seq", F.struct(*KEY).alias("key")))["key"].alias("__hint"))
     rows = supports.select("candidate", "eid").distinct().join(known, "eid", "left").join(hints, ["candidate", "eid"], "left")
     why = (
         F.when(F.col("__key").isNull(), "unknown").when(~F.coalesce("active", F.lit(False)), "superseded").when(F.col("__hint").isNull(), "unhinted")
