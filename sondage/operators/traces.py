@@ -137,14 +137,22 @@ def statement_windows(polls: DataFrame) -> DataFrame:
 
 
 def statement_verdict(current: DataFrame, baseline: DataFrame, base_polls: int) -> DataFrame:
+    """current with what the baseline says of each (sql_key, mode): ratios, presence, verdict, and what a ``slower`` one rests on.
+
+    There is no ratio to a baseline that is absent or not above 0, and without a ratio nothing is slower, faster or chronic. Statements of
+    the mode ``legacy`` carry totals since the start of their server and are not assessed. A baseline without polls has presence 0.
+    """
     b = baseline.select("sql_key", "mode", F.col("p50").alias("b_p50"), F.col("max_ms").alias("b_max"), F.col("polls").alias("b_polls"))
-    slow50, slowmax = F.col("p50") >= SLOWER * F.col("b_p50"), F.col("max_ms") >= SLOWER * F.col("b_max")
+    over = lambda c, base: F.when(F.col(base) > 0, F.col(c) / F.col(base))
+    rows = current.join(b, ["sql_key", "mode"], "left")
+    rows = rows.withColumns({"ratio_p50": over("p50", "b_p50"), "ratio_max": over("max_ms", "b_max"), "presence": F.coalesce("b_polls", F.lit(0)) / float(base_polls) if base_polls else F.lit(0.0)})
+    slow = lambda c: F.coalesce(F.col(c) >= SLOWER, F.lit(False))
+    basis = F.when(slow("ratio_p50") & slow("ratio_max"), "both").when(slow("ratio_p50"), "median").when(slow("ratio_max"), "max")
     verdict = (
-        F.when((F.col("polls") < POLLS) | (F.coalesce("b_polls", F.lit(0)) < POLLS), "insufficient_sample")
-        .when(slow50 & slowmax, "slower_both").when(slow50, "slower_median").when(slowmax, "slower_max")
-        .when(F.col("p50") <= FASTER * F.col("b_p50"), "faster").when(F.col("b_polls") / base_polls >= CHRONIC, "chronic").otherwise("stable")
+        F.when(F.col("mode") == "legacy", "not_assessable_legacy").when((F.col("polls") < POLLS) | (F.coalesce("b_polls", F.lit(0)) < POLLS), "insufficient_baseline")
+        .when(basis.isNotNull(), "slower").when(F.col("ratio_p50") <= FASTER, "faster").when((F.col("presence") >= CHRONIC) & F.col("ratio_p50").isNotNull(), "chronic").otherwise("stable")
     )
-    return current.join(b, ["sql_key", "mode"], "left").withColumn("verdict", verdict)
+    return rows.withColumns({"verdict": verdict, "basis": F.when(verdict == "slower", basis)})
 
 
 def plan_stability(captures: DataFrame) -> DataFrame:

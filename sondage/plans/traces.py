@@ -128,12 +128,16 @@ def slow_query_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_statements(spark, sf_dir)[0], 4)
 
 
-@PLANS.add(f"""{FOLD} select c.sql_key, c.mode, c.polls, b.polls as b_polls, case when c.polls < 3 or coalesce(b.polls, 0) < 3 then 'insufficient_sample'
-  when c.p50 >= 3 * b.p50 and c.max_ms >= 3 * b.max_ms then 'slower_both' when c.p50 >= 3 * b.p50 then 'slower_median' when c.max_ms >= 3 * b.max_ms then 'slower_max'
-  when c.p50 <= b.p50 / 3 then 'faster' when b.polls / 365 >= 0.9 then 'chronic' else 'stable' end as verdict
-  from (select * from w where cur) c left join (select * from w where not cur) b on c.sql_key = b.sql_key and c.mode = b.mode""")
+@PLANS.add(f"""{FOLD}, r as (select c.sql_key, case c.mode when 'F' then 'legacy' else c.mode end as mode, c.polls, b.polls as b_polls, case when b.p50 > 0 then c.p50 / b.p50 end as r50, case when b.max_ms > 0 then c.max_ms / b.max_ms end as rmax,
+    coalesce(b.polls, 0) / 365 as presence from (select * from w where cur) c left join (select * from w where not cur) b on c.sql_key = b.sql_key and c.mode = b.mode),
+v as (select *, case when mode = 'legacy' then 'not_assessable_legacy' when polls < 3 or coalesce(b_polls, 0) < 3 then 'insufficient_baseline' when r50 >= 3 or rmax >= 3 then 'slower'
+    when r50 <= 1 / 3.0::double then 'faster' when presence >= 0.9 and r50 is not null then 'chronic' else 'stable' end as verdict from r)
+select sql_key, mode, polls, b_polls, round(r50, 4) as ratio_p50, round(rmax, 4) as ratio_max, verdict,
+  case when verdict = 'slower' then case when r50 >= 3 and rmax >= 3 then 'both' when r50 >= 3 then 'median' else 'max' end end as basis from v""")
 def slow_query_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.statement_verdict(*_statements(spark, sf_dir), 365).select("sql_key", "mode", "polls", "b_polls", "verdict")
+    legacy = F.when(F.col("mode") == "F", "legacy").otherwise(F.col("mode"))
+    current, base = (df.withColumn("mode", legacy) for df in _statements(spark, sf_dir))
+    return rounded(op.statement_verdict(current, base, 365).select("sql_key", "mode", "polls", "b_polls", "ratio_p50", "ratio_max", "verdict", "basis"), 4)
 
 
 @PLANS.add("""with x as (select 'q' || (l_partkey % 300)::varchar as sql_key, l_suppkey % 7 as plan from lineitem)
