@@ -123,16 +123,25 @@ def resolve_keys(asked: DataFrame, records: DataFrame, scopes: DataFrame) -> Dat
 
 
 def truth(rows: DataFrame) -> DataFrame:
-    """rows(id, predicate, threshold, availability, magnitude, direction) to truth and status."""
-    p, a, m = F.col("predicate"), F.col("availability"), F.col("magnitude")
+    """rows(id, predicate, threshold, resolution, allowed, availability, magnitude, direction) to truth and the status of deriving it.
+
+    A key that an entity's record resolves is present, whatever it measured; one that only a complete scope covers is absent, and has neither
+    magnitude nor direction. ``allowed``: the record's class lets the predicate be asked; scopes have no class. The first that holds counts:
+    unresolved, unknown_predicate, unusable_availability, class_not_allowed, no_magnitude, no_threshold, no_direction, ok.
+    """
+    p, m, d = F.col("predicate"), F.col("magnitude"), F.col("direction")
+    sized, turned = F.coalesce(p.isin("magnitude_ge", "magnitude_lt"), F.lit(False)), F.coalesce(p.isin("direction_up", "direction_down"), F.lit(False))
+    bare = F.coalesce(p.isin("present", "absent"), F.lit(False))
+    entity = F.coalesce(F.col("resolution") == "entity", F.lit(False))
     status = (
-        F.when(a == "missing", "missing").when(p.startswith("magnitude") & m.isNull(), "no_magnitude")
-        .when(p.startswith("magnitude") & F.col("threshold").isNull(), "no_threshold")
-        .when(p.startswith("direction") & (F.col("direction") == "n/a"), "no_direction").otherwise("ok")
+        F.when(~F.coalesce(F.col("resolution").isin("entity", "scope"), F.lit(False)), "unresolved").when(~(sized | turned | bare), "unknown_predicate")
+        .when(F.col("availability").isin("missing", "not_applicable"), "unusable_availability").when(entity & ~F.coalesce("allowed", F.lit(False)), "class_not_allowed")
+        .when(sized & (~entity | m.isNull()), "no_magnitude").when(sized & F.col("threshold").isNull(), "no_threshold")
+        .when(turned & ~(entity & F.coalesce(d.isin("up", "down", "flat"), F.lit(False))), "no_direction").otherwise("ok")
     )
     holds = (
-        F.when(p == "present", a == "observed").when(p == "absent", a == "observed_zero").when(p == "magnitude_ge", m >= F.col("threshold"))
-        .when(p == "magnitude_lt", m < F.col("threshold")).when(p == "direction_up", F.col("direction") == "up").when(p == "direction_down", F.col("direction") == "down")
+        F.when(p == "present", entity).when(p == "absent", ~entity).when(p == "magnitude_ge", m >= F.col("threshold"))
+        .when(p == "magnitude_lt", m < F.col("threshold")).when(p == "direction_up", d == "up").when(p == "direction_down", d == "down")
     )
     return rows.withColumn("status", status).withColumn("truth", F.when(F.col("status") == "ok", holds))
 

@@ -134,6 +134,11 @@ def _doubtful(tree: Column) -> Column:
     )
 
 
+def allows(source: Column, cls: Column, predicate: Column) -> Column:
+    """Whether the class lets the predicate be asked of its records; false for a class that the table lacks."""
+    return F.coalesce(F.concat_ws("/", source, cls, predicate).isin(*sorted({f"{r[0]}/{r[2]}/{p}" for r in rows() for p in r[5]})), F.lit(False))
+
+
 def availability(status: Column, reason: Column, complete: Column) -> Column:
     """Zero observations of a complete search are a zero; what was never collected doesn't apply; all other gaps are missing."""
     gap = F.when(reason == "zero_observations", F.when(complete, "observed_zero").otherwise("missing")).when(reason == "not_collected", "not_applicable")

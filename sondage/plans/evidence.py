@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sondage.operators import blind
 from sondage.operators import evidence as op
-from sondage.operators import json_forms
+from sondage.operators import json_forms, mapping
 from sondage.plans.base import Plans, rounded
 from sondage.sources import telemetry as t
 
@@ -102,12 +102,15 @@ def scope_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PREDICATES = f"""{RECORDS}, p as (select *, ['present', 'absent', 'magnitude_ge', 'magnitude_lt', 'direction_up', 'direction_down'][(event_id % 6)::int + 1] as predicate, case when event_id % 19 > 0 then 50.0 end as threshold from r),
-q as (select *, case when availability = 'missing' then 'missing' when predicate like 'magnitude%' and magnitude is null then 'no_magnitude' when predicate like 'magnitude%' and threshold is null then 'no_threshold'
-  when predicate like 'direction%' and direction = 'n/a' then 'no_direction' else 'ok' end as status,
-  case predicate when 'present' then availability = 'observed' when 'absent' then availability = 'observed_zero' when 'magnitude_ge' then magnitude >= threshold when 'magnitude_lt' then magnitude < threshold
-  when 'direction_up' then direction = 'up' else direction = 'down' end as holds from p),
+pr as (select * replace (case when event_id % 17 = 0 then 'not_applicable' else availability end as availability), case when event_id % 8 = 0 then 'ambiguous' when event_id % 8 < 3 then 'scope' else 'entity' end as resolution,
+  case event_id % 7 when 1 then predicate in ('present', 'absent') when 2 then predicate not like 'magnitude%' when 3 then false else true end as allowed from p),
+q as (select *, case when resolution = 'ambiguous' then 'unresolved' when availability in ('missing', 'not_applicable') then 'unusable_availability' when resolution = 'entity' and not allowed then 'class_not_allowed'
+  when predicate like 'magnitude%' and (resolution = 'scope' or magnitude is null) then 'no_magnitude' when predicate like 'magnitude%' and threshold is null then 'no_threshold'
+  when predicate like 'direction%' and (resolution = 'scope' or direction = 'n/a') then 'no_direction' else 'ok' end as status,
+  case predicate when 'present' then resolution = 'entity' when 'absent' then resolution = 'scope' when 'magnitude_ge' then magnitude >= threshold when 'magnitude_lt' then magnitude < threshold
+  when 'direction_up' then direction = 'up' else direction = 'down' end as holds from pr),
 tr as (select *, case when status = 'ok' then holds end as truth from q),
-j0 as (select *, case when event_id % 8 = 0 then 'ambiguous' else 'entity' end as resolution, event_id % 4 > 0 as must_hold, case when event_id % 3 = 0 then 'supporting' else 'necessary' end as role,
+j0 as (select *, event_id % 4 > 0 as must_hold, case when event_id % 3 = 0 then 'supporting' else 'necessary' end as role,
   confidence = 'normal' as qualified, sample_ok as counter, event_id % 23 as hypothesis from (select *, event_id % 10 < 3 as sample_ok from tr)),
 j as (select *, case when resolution = 'ambiguous' then 1 when status <> 'ok' then 2 when truth = must_hold and qualified then 3 when truth = must_hold then 4 when role <> 'necessary' then 7 when counter then 5 else 6 end::bigint as row from j0),
 v as (select *, case row when 3 then 'supported_qualified' when 4 then 'supported_weak' when 5 then 'invalidated' else 'inconclusive' end as verdict from j),
@@ -116,14 +119,19 @@ t as (select hypothesis, count(*) filter (row = 3) as qualified, count(*) filter
 
 def predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(x) for x in ("present", "absent", "magnitude_ge", "magnitude_lt", "direction_up", "direction_down")])
-    r = records(spark, sf_dir)
-    return op.truth(r.withColumns({"predicate": F.element_at(names, (F.col("id") % 6).cast("int") + 1), "threshold": F.when(F.col("id") % 19 > 0, 50.0)}))
+    i = F.col("id")
+    r = records(spark, sf_dir).withColumns({
+        "predicate": F.element_at(names, (i % 6).cast("int") + 1), "threshold": F.when(i % 19 > 0, 50.0), "availability": F.when(i % 17 == 0, "not_applicable").otherwise(F.col("availability")),
+        "resolution": F.when(i % 8 == 0, "ambiguous").when(i % 8 < 3, "scope").otherwise("entity"), "source": F.when(i % 7 == 2, "compare_peers").otherwise("scan_metrics"),
+        "class": F.when(i % 7 == 1, "appeared").when(i % 7 == 2, "self").when(i % 7 == 3, "counts").otherwise("shifted"),
+    })
+    return op.truth(r.withColumn("allowed", mapping.allows(F.col("source"), F.col("class"), F.col("predicate"))))
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("id")
     return op.judge(predicates(spark, sf_dir).withColumns({
-        "resolution": F.when(i % 8 == 0, "ambiguous").otherwise("entity"), "must_hold": i % 4 > 0, "role": F.when(i % 3 == 0, "supporting").otherwise("necessary"),
+        "must_hold": i % 4 > 0, "role": F.when(i % 3 == 0, "supporting").otherwise("necessary"),
         "qualified": F.col("confidence") == "normal", "counter": i % 10 < 3, "hypothesis": i % 23,
     }))
 
