@@ -41,6 +41,11 @@ def mean_over(folded: DataFrame) -> DataFrame:
     return folded.groupBy("name", "bucket").agg(F.avg("value").alias("value"))
 
 
+def whole(value: Column) -> Column:
+    """The nearest whole number of a mean. Its last bits depend on the order of its sum, so they go first, lest a half falls to either side."""
+    return F.round(F.round(value, 9))
+
+
 def increases(series: DataFrame, key: str = "name") -> DataFrame:
     """Adjacent differences of a counter; a reset counts 0; the first point has none."""
     step = F.col("value") - F.lag("value").over(W.partitionBy(key).orderBy("bucket"))

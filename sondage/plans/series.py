@@ -146,7 +146,7 @@ walk as (select name, bucket, i, v as kept, false as moved from w where i = 1
 select name, n, first_at, last_at, last_value, changes, case when changes > 0 then 'changed' when n * 10 < 360 then 'unknown_sparse' else 'observed_constant' end as stability from seen join moves using (name)""")
 def limit_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, b = windows(spark, sf_dir)
-    return op.stability(c.unionByName(b).withColumn("value", F.round(F.col("value") / 20)), 120)
+    return op.stability(c.unionByName(b).withColumn("value", op.whole(F.col("value") / 20)), 120)
 
 
 STATS = """x as (select name, cur, avg(value) as a, max(value) as mx, min(value) as mn, count(*) as n, arg_max(value, {'ts': ts, 'v': value}) as last from raw group by all)"""

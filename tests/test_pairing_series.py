@@ -1,5 +1,6 @@
 """Consumed pairing, change points and look-ups against sequential ones."""
 
+import math
 import random
 import time
 from collections import Counter
@@ -113,3 +114,9 @@ def test_robust_stats_by_hand(spark):
     df = spark.createDataFrame([("a", float(v)) for v in (1, 2, 4, 8, -20)] + [("b", 3.0)], "name string, value double")
     got = {r.name: (r.n, r.med, r.scale, r.mad) for r in series.robust_stats(df).collect()}
     assert got == {"a": (5, 2.0, 20.0, 2.0), "b": (1, 3.0, 3.0, 0.0)}
+
+
+def test_halves_that_a_sum_misses_are_rounded_alike(spark):
+    sums = [60.76 + 65.27 + 67.96 + 6.01, 67.96 + 6.01 + 65.27 + 60.76, math.nextafter(200, 0), 199.999999]  # of 200, in any order
+    rows = spark.createDataFrame([(s,) for s in sums], "s double").select("s", series.whole(F.col("s") / 80).alias("v"))
+    assert dict(map(tuple, rows.collect())) == {s: 3.0 for s in sums[:3]} | {199.999999: 2.0}
