@@ -123,7 +123,9 @@ def label_values(metrics: DataFrame, label: str, start: datetime, end: datetime)
     return metrics.filter((F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(end))).select(F.col(label).alias("value")).distinct()
 
 
-def scanned_changes(changes: DataFrame, targets: DataFrame, start: datetime, end: datetime, look_back: timedelta) -> DataFrame:
-    """Changes of the targets of an incident from ``look_back`` before its start to its end; those after the start are late."""
-    own = changes.filter((F.col("at") >= F.lit(start - look_back)) & (F.col("at") < F.lit(end)))
+def scanned_changes(changes: DataFrame, targets: DataFrame, start: datetime, end: datetime, look_back: timedelta | None = None) -> DataFrame:
+    """Changes of the targets of an incident from before its start, or from ``look_back`` before it, to its end; those after the start are late."""
+    own = changes.filter(F.col("at") < F.lit(end))
+    if look_back is not None:
+        own = own.filter(F.col("at") >= F.lit(start - look_back))
     return own.join(targets.select("target_id").distinct(), "target_id", "left_semi").withColumn("late", F.col("at") > F.lit(start))

@@ -42,3 +42,10 @@ def test_changes_further_back_than_asked_are_left_out(spark):
     changes = spark.createDataFrame([(d, at(d), "t") for d in (1, 2, 5, 6, 9)] + [(7, at(5), "u")], "id long, at timestamp_ntz, target_id string")
     got = feeds.scanned_changes(changes, spark.createDataFrame([("t",), ("t",)], "target_id string"), at(5), at(9), timedelta(days=3))
     assert sorted((r.id, r.late) for r in got.collect()) == [(2, False), (5, False), (6, True)]
+
+
+def test_changes_of_any_age_without_a_look_back(spark):
+    at = lambda y: datetime(y, 1, 1)
+    changes = spark.createDataFrame([(y, at(y), "t") for y in (1970, 1990, 2024, 2025)], "id long, at timestamp_ntz, target_id string")
+    got = feeds.scanned_changes(changes, spark.createDataFrame([("t",)], "target_id string"), at(2024), at(2025))
+    assert sorted((r.id, r.late) for r in got.collect()) == [(1970, False), (1990, False), (2024, False)]
