@@ -1,5 +1,6 @@
 """Blocking, endpoints, edges, ledger and feeds on literal rows."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -132,3 +133,33 @@ def test_kinds_without_a_catalogue_are_degraded(spark):
     assert _got(feeds.value_kinds(series, None), "kind", "degraded") == [("gauge", True)]
     types = spark.createDataFrame([("m", "counter_total")], "name string, value_type string")
     assert _got(feeds.value_kinds(series, types), "kind", "degraded") == [("counter", False)]
+
+
+def _plain_depth(edges):
+    best = 2
+    for at in edges:
+        path = [at]
+        while path[-1] in edges and edges[path[-1]] not in path:
+            path.append(edges[path[-1]])
+        best = max(best, len(path))
+    return best
+
+
+@pytest.mark.parametrize("most", [1_000, 8, 0])
+def test_chains_and_circles_of_many_polls(spark, monkeypatch, most):
+    monkeypatch.setattr(blocking, "MOST_EDGES", most)
+    rng, polls = random.Random(5), {}
+    for poll in range(60):
+        n = rng.choice([1, 2, 3, 7, 20])
+        polls["a" if poll % 2 else "b", poll] = {s: rng.randint(1, n + 2) * 10**12 for s in [i * 10**12 for i in rng.sample(range(1, n + 1), rng.randint(1, n))]}
+    polls["c", 1], polls["c", 2] = {i: i + 1 for i in range(1, 13)}, {i: i % 12 + 1 for i in range(1, 13)}
+    rows = [(*p, s, b) for p, edges in polls.items() for s, b in edges.items()]
+    got = blocking.chain_depth(spark.createDataFrame(rows, "database string, poll long, session long, blocker long"))
+    assert {(r.database, r.poll): r.depth for r in got.collect()} == {p: _plain_depth(e) for p, e in polls.items()}
+
+
+def test_a_round_reads_its_sessions_once(spark, tmp_path):
+    spark.createDataFrame([("a", 1, 1, 2), ("a", 1, 2, 0)], "database string, poll long, session long, blocker long").write.parquet(f"{tmp_path}/s")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    s = spark.read.parquet(f"{tmp_path}/s")
+    assert (plan(blocking.roles(s)), plan(blocking.chain_depth(s))) == (1, 1)
