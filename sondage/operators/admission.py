@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,13 +24,6 @@ TABLE = sorted({f"{r[0]}/{r[3]}" for r in classes()})
 UNION = sorted({f"{r[0]}/{p}" for r in classes() for p in r[5]})
 
 
-class Admission(NamedTuple):
-    decisions: DataFrame  # candidate, predictions, pre_satisfied, bound, admitted
-    violations: DataFrame  # candidate, seq (null: of the candidate), rule, reason
-    unbound: DataFrame  # candidate, eid, reason
-    tags: DataFrame  # candidate, seq, tag
-
-
 def form(predictions: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Rule 1 by prediction: (candidate, seq, rule, reason).
 
@@ -65,7 +58,7 @@ def measured(predictions: DataFrame, truths: DataFrame) -> DataFrame:
     on = [*SELECTOR, "predicate", "__at"]
     at = F.coalesce(F.col("threshold").cast("string"), F.lit("")).alias("__at")
     place = F.array_position(F.array(*map(F.lit, WINDOWS)), F.col("window"))
-    known = canonical_keys(truths).filter(F.col("truth").isNotNull() & (place > 0)).groupBy(*SELECTOR, "predicate", at).agg(F.min_by("truth", F.struct(place, "truth")).alias("truth"))
+    known = canonical_keys(truths).filter(F.col("truth").isNotNull() & (place > 0)).groupBy(*SELECTOR, "predicate", at).agg((F.min(2 * place + F.col("truth").cast("int")) % 2 == 1).alias("truth"))
     return predictions.withColumn("__at", at).join(known, on, "left").drop("__at")
 
 
@@ -85,6 +78,81 @@ def bind(supports: DataFrame, predictions: DataFrame, records: DataFrame) -> Dat
     return rows.select("candidate", "eid", why.alias("reason"))
 
 
+class Admission:
+    """The parts of an admission, each made when it is first asked for, so that a question of the evidence doesn't measure predictions.
+
+    Predictions meet the truths once, before the candidates that break rule 1 are known; these leave at their aggregate.
+    """
+
+    def __init__(self, candidates: DataFrame, predictions: DataFrame, supports: DataFrame, vocabulary: DataFrame, truths: DataFrame, records: DataFrame, delta: DataFrame | None) -> None:
+        self._candidates, self._p, self._supports, self._vocabulary = candidates.select("candidate").distinct(), canonical_keys(predictions), supports, vocabulary
+        self._truths, self._records, self._delta = truths, records, delta
+
+    @cached_property
+    def _broken(self) -> DataFrame:
+        return durable(form(self._p, self._vocabulary), "form")
+
+    @cached_property
+    def _badly(self) -> DataFrame:
+        return self._broken.select("candidate").distinct()
+
+    @cached_property
+    def _seen(self) -> DataFrame:
+        """All predictions with truth, pre_satisfied and whether their key is open again."""
+        holds = F.coalesce(F.col("truth") == (F.col("expectation") == "must_hold"), F.lit(False))
+        seen = measured(self._p, self._truths).withColumn("pre_satisfied", holds)
+        if self._delta is None:
+            seen = seen.withColumn("__again", F.lit(False))
+        else:
+            again = canonical_keys(self._delta).select(*KEY).distinct().withColumn("__again", F.lit(True))
+            seen = seen.join(again, KEY, "left").fillna(False, ["__again"])
+        return seen.select("candidate", "seq", "truth", "role", "pre_satisfied", "__again")
+
+    @cached_property
+    def _tied(self) -> DataFrame:
+        return bind(self._supports.join(self._badly, "candidate", "left_anti"), self._p, self._records)
+
+    @cached_property
+    def _judged(self) -> DataFrame:
+        """Each candidate with its counts, whether it breaks rule 1 (``__bad``), and what it breaks else (``__late``)."""
+        live = (F.col("role") == "necessary") & (~F.col("pre_satisfied") | F.col("__again"))
+        per = self._seen.groupBy("candidate").agg(
+            F.count(F.lit(1)).alias("predictions"), F.count_if("pre_satisfied").alias("pre_satisfied"), F.count_if(F.col("truth").isNull()).alias("__open"), F.count_if(live).alias("__live")
+        )
+        n = self._tied.filter("reason is null").groupBy("candidate").agg(F.count(F.lit(1)).alias("bound"))
+        bad = self._badly.withColumn("__bad", F.lit(True))
+        all_ = self._candidates.join(bad, "candidate", "left").join(per, "candidate", "left").join(n, "candidate", "left")
+        all_ = all_.fillna(0, ["predictions", "pre_satisfied", "__open", "__live", "bound"]).fillna(False, ["__bad"])
+        rule = lambda r, why: F.struct(F.lit(r).alias("rule"), F.lit(why).alias("reason"))
+        late = F.array_compact(F.array(
+            F.when(F.col("bound") == 0, rule("support", "unbound")), F.when(F.col("__open") == 0, rule("3a", "all_measured")), F.when(F.col("__live") == 0, rule("3b", "none_necessary_open"))
+        ))
+        return all_.withColumn("__late", late)
+
+    @property
+    def decisions(self) -> DataFrame:
+        """candidate, predictions, pre_satisfied, bound, admitted"""
+        sound = lambda c: F.when(F.col("__bad"), F.lit(0)).otherwise(F.col(c)).cast("long").alias(c)
+        return self._judged.select("candidate", "predictions", sound("pre_satisfied"), sound("bound"), (~F.col("__bad") & (F.size("__late") == 0)).alias("admitted"))
+
+    @property
+    def violations(self) -> DataFrame:
+        """candidate, seq (null: of the candidate), rule, reason"""
+        none = F.lit(None).cast(self._broken.schema["seq"].dataType).alias("seq")
+        return self._broken.unionByName(self._judged.filter("not __bad").select("candidate", none, F.explode("__late").alias("v")).select("candidate", "seq", "v.*"))
+
+    @property
+    def unbound(self) -> DataFrame:
+        """candidate, eid, reason"""
+        return self._tied.filter("reason is not null")
+
+    @property
+    def tags(self) -> DataFrame:
+        """candidate, seq, tag"""
+        met = self._seen.filter("pre_satisfied").join(self._badly, "candidate", "left_anti")
+        return self._broken.select("candidate", "seq", F.lit("undecidable").alias("tag")).distinct().unionByName(met.select("candidate", "seq", F.lit("pre_satisfied").alias("tag")))
+
+
 def admit(candidates: DataFrame, predictions: DataFrame, supports: DataFrame, vocabulary: DataFrame, truths: DataFrame, records: DataFrame, delta: DataFrame | None = None) -> Admission:
     """candidates(candidate), predictions(candidate, seq, KEY, predicate, threshold, expectation, role, eid_hint) and the rest as above.
 
@@ -92,36 +160,4 @@ def admit(candidates: DataFrame, predictions: DataFrame, supports: DataFrame, vo
     expects. Rule 3: one prediction at least isn't measured (``3a``), and one that is necessary isn't pre_satisfied, or its key is among the
     delta(KEY) that new evidence has opened again (``3b``). ``support``: no eid is bound. Each step is a join by key and an aggregate by candidate.
     """
-    p = canonical_keys(predictions)
-    broken = durable(form(p, vocabulary), "form")
-    badly = broken.select("candidate").distinct()
-    p = p.join(badly, "candidate", "left_anti")
-    seen = measured(p, truths)
-    holds = F.coalesce(F.col("truth") == (F.col("expectation") == "must_hold"), F.lit(False))
-    seen = seen.withColumn("pre_satisfied", holds)
-    if delta is None:
-        seen = seen.withColumn("__again", F.lit(False))
-    else:
-        again = canonical_keys(delta).select(*KEY).distinct().withColumn("__again", F.lit(True))
-        seen = seen.join(again, KEY, "left").fillna(False, ["__again"])
-    seen = durable(seen.select("candidate", "seq", "truth", "role", "pre_satisfied", "__again"), "measured")
-    live = (F.col("role") == "necessary") & (~F.col("pre_satisfied") | F.col("__again"))
-    per = seen.groupBy("candidate").agg(
-        F.count(F.lit(1)).alias("predictions"), F.count_if("pre_satisfied").alias("pre_satisfied"), F.count_if(F.col("truth").isNull()).alias("__open"), F.count_if(live).alias("__live")
-    )
-    tied = durable(bind(supports.join(badly, "candidate", "left_anti"), p, records), "bound")
-    n = tied.filter("reason is null").groupBy("candidate").agg(F.count(F.lit(1)).alias("bound"))
-    sound = candidates.select("candidate").distinct().join(badly, "candidate", "left_anti").join(per, "candidate", "left").join(n, "candidate", "left")
-    sound = durable(sound.fillna(0, ["predictions", "pre_satisfied", "__open", "__live", "bound"]), "sound")
-    rule = lambda r, why: F.struct(F.lit(r).alias("rule"), F.lit(why).alias("reason"))
-    late = F.array_compact(F.array(
-        F.when(F.col("bound") == 0, rule("support", "unbound")), F.when(F.col("__open") == 0, rule("3a", "all_measured")), F.when(F.col("__live") == 0, rule("3b", "none_necessary_open"))
-    ))
-    more = sound.select("candidate", F.lit(None).cast(broken.schema["seq"].dataType).alias("seq"), F.explode(late).alias("v")).select("candidate", "seq", "v.*")
-    by_form = candidates.select("candidate").distinct().join(badly, "candidate", "left_semi").join(predictions.groupBy("candidate").agg(F.count(F.lit(1)).alias("predictions")), "candidate")
-    zero = F.lit(0).cast("long")
-    decisions = sound.select("candidate", "predictions", "pre_satisfied", "bound", (F.size(late) == 0).alias("admitted")).unionByName(
-        by_form.select("candidate", "predictions", zero.alias("pre_satisfied"), zero.alias("bound"), F.lit(False).alias("admitted"))
-    )
-    tags = broken.select("candidate", "seq", F.lit("undecidable").alias("tag")).distinct().unionByName(seen.filter("pre_satisfied").select("candidate", "seq", F.lit("pre_satisfied").alias("tag")))
-    return Admission(decisions, broken.unionByName(more), tied.filter("reason is not null"), tags)
+    return Admission(candidates, predictions, supports, vocabulary, truths, records, delta)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sondage.operators import admission as op
 from sondage.plans.base import Plans
-from sondage.sources import durable
 from sondage.sources import telemetry as t
 
 PLANS = Plans()
@@ -25,7 +24,6 @@ def _admission(spark: SparkSession, sf_dir: str) -> op.Admission:
         F.when((number % 3 == 2) & (part % 59 > 0), (F.col("l_quantity") % 3)).alias("threshold"), F.when(F.col("l_linestatus") == "O", "must_hold").otherwise("must_not_hold").alias("expectation"),
         F.when(number % 2 == 1, "necessary").otherwise("corroborating").alias("role"), F.when(number == 1, s("E", "l_orderkey")).alias("eid_hint"), part.alias("part"), (F.col("l_tax") > 0.03).alias("high"),
     )
-    line = durable(line, "lines")
     orders = t.read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("candidate"), F.concat(F.lit("E"), t.text("o_orderkey")).alias("eid"))
     key = [F.col(c) for c in op.SELECTOR]
     truths = line.filter("part % 3 = 0").groupBy(*key, F.lit("onset_narrow").alias("window"), "predicate", "threshold").agg(F.bool_or("high").alias("truth"))

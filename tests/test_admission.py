@@ -1,6 +1,9 @@
 """Admission of candidates: each rule broken by one literal candidate alone."""
 
+from pyspark.sql import functions as F
+
 from sondage.operators import admission
+from sondage.operators.evidence import canonical
 
 KEY = ("scan_metrics", "t", "metric", "m", "e", "full")
 GOOD = dict(zip(("source", "target_id", "aspect", "metric", "entity_key", "window"), KEY), predicate="present", threshold=None, expectation="must_hold", role="necessary", eid_hint="E1")
@@ -52,3 +55,17 @@ def test_measured_and_bound(spark):
     assert sorted((r.candidate, r.seq) for r in got.tags.collect()) == [("half", 2), ("narrow", 2), ("old", 1), ("soft", 2)]
     again = _admit(spark, {"soft": cases["soft"]}, supports, truths, [(*KEY[:3], "seen", "e", "full")])
     assert [r.admitted for r in again.decisions.collect()] == [True]
+
+
+def test_evidence_is_asked_without_measuring(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(admission, "measured", lambda *a, plain=admission.measured: asked.append(1) or plain(*a))
+    got = _admit(spark, {"loose": [{}], "bad": [{"role": "vital"}]}, [("loose", "E4"), ("bad", "E4")])
+    assert [(r.candidate, r.reason) for r in got.unbound.collect()] == [("loose", "unhinted")] and not asked
+    assert {r.candidate: (r.predictions, r.bound, r.admitted) for r in got.decisions.collect()} == {"loose": (1, 0, False), "bad": (1, 0, False)} and asked
+
+
+def test_spellings_fold_with_and_without_white_space(spark):
+    said = {"Ab": "ab", " A  b ": "a b", "a\tb": "a b", "a\x0b\r\n b\f": "a b", "": "", "  ": "", "a\u00a0B": "a\u00a0b", None: None}
+    got = spark.createDataFrame([(k,) for k in said], "k string").select("k", canonical(F.col("k")).alias("v"))
+    assert dict(map(tuple, got.collect())) == said
