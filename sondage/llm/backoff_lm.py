@@ -6,12 +6,11 @@ scores count(before, context, word) / count(before, context), any other one back
 count(context), and from there to ``ALPHA`` squared * count(word) / count(all). Trigrams join the tables by hash and the logarithms
 are summed for each document.
 
-``fit`` and ``score`` take any two corpora. ``score_own`` scores a corpus by its own counts: there every trigram is in the
-table, so nothing backs off, and a document's score is the sum of log count(before, context, word) less that of log
-count(before, context). Both are counts of keys, and a key that occurs once adds log 1 = 0, so a count table needs no such keys.
-The keys are taken in ``SLICES`` parts by hash, one after the other: a part's table is stored, joined to the documents' keys and
-removed; only the documents' sums stay, so the disk holds one part of the keys at a time. Counts are combined before the shuffle;
-both sides of the join are plain shuffles, so AQE splits hot keys; nothing is broadcast or collected but, for words, their total.
+``fit`` and ``score`` take any two corpora. ``score_own`` scores a corpus by its own counts, through both: every trigram is looked
+up, and one that isn't in the table would back off; as all of them are, none does, and the tables below are not made. The trigrams are
+taken in ``SLICES`` parts by the hash of their context, one after the other: all counts of trigrams and bigrams of a context lie in one
+part, those of words are of the whole corpus. Only the documents' sums stay, so the disk holds one part at a time. Counts are combined
+before the shuffle; both sides of a join are plain shuffles, so AQE splits hot keys; nothing is collected, and one row is broadcast.
 
 Defined cases: null and empty texts have no words, log_score 0 and a null mean; a very long text is exploded like others; rows with
 the same doc_id (or none) are scored as one document; repeated rows count as often as they stand in the corpus; ties have no part
@@ -21,21 +20,15 @@ in a score; other columns, whatever their names, are ignored; an empty table giv
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondage.sources import discard, durable, text_batches
+from sondage.sources import durable
 
 ALPHA = 0.4
 SLICES = 3
-BYTES_AT_ONCE = 8_000_000
 #: What separates words.
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Stands twice before the first word of a text.
@@ -68,7 +61,7 @@ def _key(*words: str) -> Column:
 def fit(grams: DataFrame, min_count: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tables of log scores: (tri, high) of trigrams, (bi, mid) of bigrams, both seen ``min_count`` times, and (word, low) of all words."""
     seen = grams.filter("word is not null")
-    total = seen.count()
+    total = F.broadcast(seen.agg(F.count(F.lit(1)).alias("total")))  # one row
     count = lambda rows, *by: rows.groupBy(*by).agg(F.sum("n").alias("n"))
     three = seen.groupBy("before", "context", "word").agg(F.count(F.lit(1)).alias("n"))
     two = count(three, "context", "word")
@@ -79,93 +72,41 @@ def fit(grams: DataFrame, min_count: int = 1) -> tuple[DataFrame, DataFrame, Dat
 
     high = share(three, "before", "context").select(_key("before", "context", "word").alias("tri"), F.col("log").alias("high"))
     mid = share(two, "context").select(_key("context", "word").alias("bi"), (F.col("log") + math.log(ALPHA)).alias("mid"))
-    low = count(two, "word").select("word", (F.log(F.col("n") / max(total, 1)) + 2 * math.log(ALPHA)).alias("low"))
+    low = count(two, "word").crossJoin(total).select("word", (F.log(F.col("n") / F.col("total")) + 2 * math.log(ALPHA)).alias("low"))
     return high, mid, low
 
 
 def score(grams: DataFrame, high: DataFrame, mid: DataFrame, low: DataFrame, unseen: float = -20.0) -> DataFrame:
-    """doc_id, n_words, n_backoff (words without a trigram), log_score. ``unseen`` is the score of a word that the tables don't have."""
+    """doc_id, n_words, n_backoff (words without a trigram), log_score. ``unseen`` is the score of a word that the tables don't have.
+
+    The sums of the trigrams are stored. Only if some word lacks one, the tables of bigrams and words are read at all.
+    """
     rows = grams.select("doc_id", _key("before", "context", "word").alias("tri"), _key("context", "word").alias("bi"), "word")
     met = rows.join(high, "tri", "left")
     sums = lambda rows, c, backed: rows.groupBy("doc_id").agg(
         F.sum(c).alias("s"), F.count("word").alias("n"), (F.count("word") * backed).alias("b")
     )
-    first = met.filter("high is not null or word is null")
-    second = met.filter("high is null and word is not null").select("doc_id", "bi", "word").join(mid, "bi", "left")
-    third = second.filter("mid is null").select("doc_id", "word").join(low, "word", "left").withColumn("low", F.coalesce("low", F.lit(unseen)))
-    parts = sums(first, "high", 0).unionByName(sums(second.filter("mid is not null"), "mid", 1)).unionByName(sums(third, "low", 1))
+    first = durable(met.groupBy("doc_id").agg(F.sum("high").alias("s"), F.count("high").alias("n"), F.count("word").alias("words")), "sums")
+    parts = first.select("doc_id", "s", "n", F.lit(0).cast("long").alias("b"))
+    if not first.filter("n < words").isEmpty():
+        second = met.filter("high is null and word is not null").select("doc_id", "bi", "word").join(mid, "bi", "left")
+        third = second.filter("mid is null").select("doc_id", "word").join(low, "word", "left").withColumn("low", F.coalesce("low", F.lit(unseen)))
+        parts = parts.unionByName(sums(second.filter("mid is not null"), "mid", 1)).unionByName(sums(third, "low", 1))
     return parts.groupBy("doc_id").agg(
         F.sum("n").cast("long").alias("n_words"), F.sum("b").cast("long").alias("n_backoff"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("log_score")
     )
 
 
-def _mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of two 64-bit hashes."""
-    z = x * np.uint64(0x9E3779B97F4A7C15) + y
-    z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return z ^ (z >> np.uint64(29))
-
-
-def _block_keys(texts: pa.Array, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row number and key of every pair that a word follows (odd keys) and of every trigram (even keys), of one part of the keys."""
-    words = pc.ascii_split_whitespace(texts)
-    n = pc.list_value_length(words).to_numpy(zero_copy_only=False)
-    flat = words.flatten()
-    full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # white space at either end of a text makes an empty word
-    code = flat.dictionary_encode()
-    word = pd.util.hash_array(code.dictionary.to_numpy(zero_copy_only=False), categorize=False)[code.indices.to_numpy()]
-    row = np.repeat(np.arange(len(n)), n)
-    if not full.all():
-        word, row = word[full], row[full]
-    pair = np.full_like(word, 1)  # of a text's first words: what comes before is START
-    for back in (2, 1):
-        shifted = np.zeros_like(word)
-        np.copyto(shifted[back:], word[:-back], where=row[back:] == row[:-back])
-        pair = _mixed(pair, shifted)
-    one = np.uint64(1)
-    found = []
-    for key in (pair | one, _mixed(pair, word) & ~one):
-        mine = (key >> one) % np.uint64(parts) == np.uint64(part)
-        found.append((row[mine], key[mine].view(np.int64)))
-    return np.concatenate([r for r, _ in found]), np.concatenate([k for _, k in found])
-
-
-def own_keys(docs: DataFrame, part: int, parts: int, text_col: str = "text", by_doc: bool = True) -> DataFrame:
-    """The pairs (odd keys) and trigrams (even) of one part of the keys: doc_id and key of every place, or key and n, counted by block of texts."""
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, ids = b.column(1), b.column(0)
-            size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
-            block = (np.cumsum(size) - size) // BYTES_AT_ONCE  # whole texts, so many at a time that their words fit in memory
-            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(size)]
-            for at, to in zip(edges, edges[1:], strict=False):
-                if to == at:
-                    continue
-                row, key = _block_keys(texts.slice(at, to - at), part, parts)
-                if by_doc:
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + at)), pa.array(key)], names=["doc_id", "key"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(key, return_counts=True)], names=["key", "n"])
-
-    rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    return rows.mapInArrow(keys, "doc_id long, key long" if by_doc else "key long, n long")
-
-
 def score_own(docs: DataFrame, text_col: str = "text", parts: int = SLICES) -> DataFrame:
-    """doc_id, n_words, n_backoff (0), log_score of every document by the counts of all of them."""
-    words = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), BLANKS), lambda w: w != "")
-    sums = [docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("s"), F.size(words).cast("long").alias("n"))]
+    """doc_id, n_words, n_backoff, log_score of every document by the counts of all of them."""
+    grams = trigrams(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_col), text_col)
+    low = fit(grams)[2]
+    sums = []
     for part in range(parts):
-        counts = own_keys(docs, part, parts, text_col, by_doc=False).groupBy("key").agg(F.sum("n").alias("n"))
-        often = durable(counts.filter("n > 1"), "counts")
-        log = F.when(F.col("key").bitwiseAND(1) == 0, F.log("n")).otherwise(-F.log("n"))
-        met = own_keys(docs, part, parts, text_col).join(often.hint("shuffle_hash"), "key")
-        sums.append(durable(met.groupBy("doc_id").agg(F.sum(log).alias("s"), F.lit(0).cast("long").alias("n")), "sums"))
-        discard(often)
-    return reduce(DataFrame.unionByName, sums).groupBy("doc_id").agg(
-        F.sum("n").alias("n_words"), F.lit(0).cast("long").alias("n_backoff"), F.sum("s").alias("log_score")
-    )
+        mine = grams.filter(F.pmod(F.xxhash64("context"), F.lit(parts)) == part)
+        high, mid, _ = fit(mine)
+        sums.append(score(mine, high, mid, low))
+    return reduce(DataFrame.unionByName, sums).groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_words", "n_backoff", "log_score")])
 
 
 def op7_backoff_lm(docs: DataFrame) -> DataFrame:

@@ -166,3 +166,15 @@ def _nested(n, seed):
 def test_classes_of_texts_that_have_nothing_of_their_own(spark, rows):
     got = {r.doc_id: r.class_id for r in probminhash.op10_probminhash(spark.createDataFrame(rows, KIND)).collect()}
     assert [got[i] for i, _ in rows] == _classes(rows)
+
+
+def test_own_scores_go_through_the_tables(spark, monkeypatch):
+    """With tables cut to what occurs twice, the others back off to bigrams and words: every level is in the way of the query."""
+    texts = ["a b c d", "a b c e", "x b c", "", None, "q r"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = backoff_lm.fit
+    grams = backoff_lm.trigrams(docs)
+    want = {r.doc_id: (r.n_words, r.n_backoff, pytest.approx(r.log_score)) for r in backoff_lm.score(grams, *plain(grams, 2)).collect()}
+    monkeypatch.setattr(backoff_lm, "fit", lambda grams: plain(grams, 2))
+    assert {r.doc_id: (r.n_words, r.n_backoff, r.log_score) for r in backoff_lm.score_own(docs, parts=2).collect()} == want
+    assert {i: b for i, (_, b, _) in want.items()} == {0: 1, 1: 1, 2: 3, 3: 0, 4: 0, 5: 2}
