@@ -178,3 +178,16 @@ def test_own_scores_go_through_the_tables(spark, monkeypatch):
     monkeypatch.setattr(backoff_lm, "fit", lambda grams: plain(grams, 2))
     assert {r.doc_id: (r.n_words, r.n_backoff, r.log_score) for r in backoff_lm.score_own(docs, parts=2).collect()} == want
     assert {i: b for i, (_, b, _) in want.items()} == {0: 1, 1: 1, 2: 3, 3: 0, 4: 0, 5: 2}
+
+
+def test_trigrams_travel_packed_and_in_many_buckets(spark, monkeypatch):
+    """A row for each word made the tables of op7 outgrow the disk; blocks hold many texts, and buckets of any number give the same scores."""
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("abcdefgh") for _ in range(40))) for i in range(60)], KIND)
+    tables = lambda: backoff_lm.fit(backoff_lm.trigrams(docs.filter("doc_id < 9")))
+    grams = backoff_lm.trigrams(docs)
+    scores = lambda: {r.doc_id: (r.n_words, r.n_backoff, pytest.approx(r.log_score)) for r in backoff_lm.score(grams, *tables()).collect()}
+    assert grams.count() < 10 and tables()[0].count() < 10
+    want = scores()
+    monkeypatch.setattr(backoff_lm, "BUCKET_WORDS", 50)
+    assert tables()[0].count() > 10 and scores() == want and sum(b for _, b, _ in want.values()) > 0
