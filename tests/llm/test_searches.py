@@ -191,3 +191,19 @@ def test_trigrams_travel_packed_and_in_many_buckets(spark, monkeypatch):
     want = scores()
     monkeypatch.setattr(backoff_lm, "BUCKET_WORDS", 50)
     assert tables()[0].count() > 10 and scores() == want and sum(b for _, b, _ in want.values()) > 0
+
+
+def test_pieces_between_white_space_are_encoded_once(bpe, monkeypatch):
+    """Encoding cut every text into words by a regex; now it sees each different piece once, and the tokens are the library's."""
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    odd = ["It's the cat,the DOG's\x1cend\x1f \x85next line　wide", "ΟΔΟΣ ΣΑΣ,ΟΔΟΣ", "é ́x a b", "<|endoftext|>it's<|startoftext|> <|endoftext|", "\x1d", "日本語 and 12,345.67!?", ""]
+    for texts in (odd, [" ".join(odd) * 3]):
+        assert [np.frombuffer(p, dtype="<u4").tolist() for p in bpe.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    seen = []
+    plain = bpe.split
+    monkeypatch.setattr(bpe, "split", type("Split", (), {"findall": staticmethod(lambda p: seen.append(p) or plain.findall(p))}))
+    bpe.encode(["some-thing's new, and some-thing's new, " * 500])
+    assert 0 < len(seen) <= 3
