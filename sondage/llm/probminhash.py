@@ -55,6 +55,8 @@ APART = 16
 DEPTH = 3
 #: A table of so many rows (a few numbers each) is broadcast; any larger one is shuffled.
 MAX_BROADCAST = 50_000
+#: So many keys, a number each, are broadcast to pick the bags of pairs before these are shuffled.
+MAX_KEYS = 2_000_000
 U = np.uint64
 GOLDEN = U(0x9E3779B97F4A7C15)
 
@@ -243,7 +245,8 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of keys with ``similar`` and ``apart``, by their bags; the result is stored.
 
     Few pairs are broadcast to the texts, whose bags then meet by pair, so that no leader is a hot key. Many are joined with the bags
-    by plain shuffles: where one text leads many others, AQE splits its partition.
+    by plain shuffles: where one text leads many others, AQE splits its partition. Only bags that some pair asks for are shuffled; their
+    keys are broadcast unless there may be more than ``MAX_KEYS``.
     """
     pairs = durable(pairs, "pairs")
     n = pairs.count()
@@ -255,7 +258,8 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         bag_of = lambda end: F.first(F.when(F.col("key") == F.col(end), F.col("bag")), ignorenulls=True)
         both = bags.join(F.broadcast(ends), "key").groupBy("a", "b").agg(bag_of("a").alias("x"), bag_of("b").alias("y"))
     else:
-        bags = bags.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi")
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        bags = bags.join(F.broadcast(asked) if 2 * n <= MAX_KEYS else asked, "key", "left_semi")
         both = pairs.join(bags.select(F.col("key").alias("a"), F.col("bag").alias("x")), "a")
         both = both.join(bags.select(F.col("key").alias("b"), F.col("bag").alias("y")), "b")
     got = durable(both.select("a", "b", _compared("x", "y").alias("c")).select("a", "b", "c.similar", "c.apart"), "verified")

@@ -207,3 +207,15 @@ def test_pieces_between_white_space_are_encoded_once(bpe, monkeypatch):
     monkeypatch.setattr(bpe, "split", type("Split", (), {"findall": staticmethod(lambda p: seen.append(p) or plain.findall(p))}))
     bpe.encode(["some-thing's new, and some-thing's new, " * 500])
     assert 0 < len(seen) <= 3
+
+
+def test_only_bags_of_pairs_are_shuffled(spark, monkeypatch):
+    """Many pairs made all bags of the corpus meet their keys by a shuffle; now the keys are broadcast, and few bags travel."""
+    texts = probminhash.sketches(spark.createDataFrame([(i, f"some words of text number {i}") for i in range(20)], KIND))[1]
+    key = [r.key for r in texts.orderBy("least").collect()]
+    pairs = spark.createDataFrame([(key[0], key[1]), (key[2], key[3])], "a long, b long")
+    monkeypatch.setattr(probminhash, "MAX_BROADCAST", 0)
+    rows, plain = [], probminhash.F.broadcast
+    monkeypatch.setattr(probminhash.F, "broadcast", lambda df: rows.append(df.count()) or plain(df))
+    got = probminhash._verify(pairs, texts).collect()
+    assert rows == [4] and {(r.a, r.b) for r in got} == {(key[0], key[1]), (key[2], key[3])}
